@@ -129,11 +129,11 @@ WITH sized AS (
          sum(source_size) OVER ()::DOUBLE * 1.5 AS total FROM sources
 ), filled AS (
   SELECT *, (total - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-         / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level, row_number() OVER o AS at
+         / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level, row_number() OVER o AS pos
   FROM weighed WINDOW o AS (ORDER BY most / weight, source)
 ), targets AS (
   SELECT f.*, CASE WHEN most <= l.level * weight THEN most::DOUBLE ELSE l.level * weight END AS target
-  FROM filled f, (SELECT coalesce(min_by(level, at) FILTER (level * weight < most), 1e300) AS level FROM filled) l
+  FROM filled f, (SELECT coalesce(min_by(level, pos) FILTER (level * weight < most), 1e300) AS level FROM filled) l
 ), budgets AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(floor(floor(target + 0.5) / source_size), 2)::BIGINT ELSE 0 END AS epochs, floor(target + 0.5)::BIGINT AS budget FROM targets
 ), ordered AS (

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to the module that defines it.
 MODULES = {
+    "op1_suffix_repetition": "repetition",
     "op3_source_mixing": "mixing",
     "op8_hypergeometric_shards": "sharding",
 }
