@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_suffix_repetition": "repetition",
     "op3_source_mixing": "mixing",
+    "op10_golay_simhash": "simhash",
     "op8_hypergeometric_shards": "sharding",
 }
 
