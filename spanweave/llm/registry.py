@@ -9,6 +9,7 @@ MODULES = {
     "op1_suffix_repetition": "repetition",
     "op3_source_mixing": "mixing",
     "op10_golay_simhash": "simhash",
+    "op7_bm25_decontamination": "decontamination",
     "op8_hypergeometric_shards": "sharding",
 }
 
