@@ -12,6 +12,7 @@ MODULES = {
     "op7_bm25_decontamination": "decontamination",
     "op6_suffix_array_dedup": "substrings",
     "op8_hypergeometric_shards": "sharding",
+    "op9_line_suffix_dedup": "lines",
 }
 
 
