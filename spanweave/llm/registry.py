@@ -10,6 +10,7 @@ MODULES = {
     "op3_source_mixing": "mixing",
     "op10_golay_simhash": "simhash",
     "op7_bm25_decontamination": "decontamination",
+    "op4_byte_gru_language": "language",
     "op6_suffix_array_dedup": "substrings",
     "op8_hypergeometric_shards": "sharding",
     "op9_line_suffix_dedup": "lines",
