@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name to the module that defines it.
 MODULES = {
     "op1_suffix_repetition": "repetition",
+    "op2_context_mixing_files": "token_files",
     "op3_source_mixing": "mixing",
     "op10_golay_simhash": "simhash",
     "op7_bm25_decontamination": "decontamination",
