@@ -12,6 +12,7 @@ MODULES = {
     "op10_golay_simhash": "simhash",
     "op7_bm25_decontamination": "decontamination",
     "op4_byte_gru_language": "language",
+    "op5_chained_passages": "passages",
     "op6_suffix_array_dedup": "substrings",
     "op8_hypergeometric_shards": "sharding",
     "op9_line_suffix_dedup": "lines",
