@@ -64,25 +64,23 @@ def _spread(value: float, capacity: float, part: np.ndarray, exact: np.ndarray,
 
 
 def upsample(curve: DataFrame, on: list[str]) -> DataFrame:
-    """curve with usage spread over the slices of each sample; samples of one slice keep theirs.
+    """curve with usage spread over the slices of each sample; samples of one slice keep theirs and bypass Python.
 
-    The passes depend on order, so the slices of one sample go through pandas together; a group
-    holds one series' samples of one hour.
+    The passes depend on order, so the slices of one sample travel as the arrays of one row.
     """
 
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sample", START], ignore_index=True)
-        length = (pdf[END] - pdf[START]).to_numpy()
-        usage = pdf["usage"].to_numpy().copy()
-        for rows in pdf.groupby("sample", sort=False).indices.values():
-            if len(rows) > 1:
-                part = length[rows] / length[rows].sum()
-                usage[rows] = _spread(usage[rows[0]], pdf["capacity"].iloc[rows[0]], part, pdf["exact"].to_numpy()[rows], pdf["variable"].to_numpy()[rows])
-        return pdf.assign(usage=usage)[columns]
-
-    columns = curve.columns
-    hour = F.floor(F.col("sample") / 3600).alias("hour")
-    return curve.groupBy(*on, "metric", hour).applyInPandas(spread, curve.schema)
+    @F.pandas_udf("array<double>")
+    def spread(usage: pd.Series, capacity: pd.Series, length: pd.Series, exact: pd.Series, variable: pd.Series) -> pd.Series:
+        rows = zip(usage, capacity, length, exact, variable)
+        return pd.Series([_spread(u, c, np.asarray(t) / np.sum(t), np.asarray(x), np.asarray(v)) for u, c, t, x, v in rows])
+
+    keys, columns = [*on, "metric", "sample", "capacity", "usage"], curve.columns
+    parts = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(START, END, "_duration", "exact", "variable"))).alias("part"))
+    each = lambda name: F.transform("part", lambda p: p[name])
+    many = parts.filter(F.size("part") > 1).withColumn("share", spread("usage", "capacity", each("_duration"), each("exact"), each("variable")))
+    many = many.select(*keys[:-1], F.explode(F.arrays_zip("part", "share")).alias("z")).select(*keys[:-1], "z.part.*", F.col("z.share").alias("usage"))
+    one = parts.filter(F.size("part") == 1).select(*keys[:-1], F.explode("part").alias("p"), "usage").select(*keys[:-1], "p.*", "usage")
+    return many.union(one).select(*columns)
 
 
 def attribute(curve: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
