@@ -198,11 +198,11 @@ def learn(docs: DataFrame, rows_per_language: int = 400, windows_per_row: int =
     return names, train(grid, used, np.searchsorted(names, sample["lang"]), len(names), seed=seed)
 
 
-def predict(docs: DataFrame, names: list[str], weights: list[np.ndarray] | None) -> DataFrame:
-    """docs with lang_pred and score; all columns are carried along."""
-    columns = docs.columns
-    judged = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+def predict(docs: DataFrame, names: list[str], weights: list[np.ndarray] | None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score, in place of own columns of the names in out; all other columns are carried along."""
+    columns = [c for c in docs.columns if c not in out]
+    judged = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = docs.select(*[F.col(f"`{c}`") for c in columns], F.lit("").alias(out[0]), F.lit(0.0).alias(out[1])).schema
 
     def judge(batches):
         for part in slices(batches, max_bytes=1_000_000):
@@ -213,15 +213,15 @@ def predict(docs: DataFrame, names: list[str], weights: list[np.ndarray] | None)
                 p = pooled(np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts]), weights)
                 best, score = p.argmax(axis=1), np.where(letters, np.clip(p.max(axis=1), 0, 1), 0.0)
             found = [names[b] if ok and names else "und" for b, ok in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(found, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(found, pa.string()), pa.array(score)], [*columns, *out])
 
     return judged.mapInArrow(judge, schema)
 
 
 def recognised(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     """The rows of docs in a learned language: neither und nor of a score below least_score."""
-    judged = predict(docs, *learn(docs))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+    judged = predict(docs, *learn(docs), out=("_lang", "_score"))
+    return judged.filter((F.col("_lang") != "und") & (F.col("_score") >= least_score)).drop("_lang", "_score")
 
 
 def op4_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,12 +105,14 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole documents: each row of docs as many times as the mix takes it."""
-    columns = docs.columns
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    plan = mixing_plan(sized.select("doc_id", "source", "size"), **options)
-    mixed = apply_mixing(docs.select(*columns, F.lit(0).alias("size")), plan)
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    """The mix as whole documents: each row of docs as many times as the mix takes it.
+
+    Rows travel as one value, so other columns may have any name.
+    """
+    plan = mixing_plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.lit(0).alias("size"))
+    mixed = apply_mixing(rows, plan).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,19 +113,22 @@ def assign_shards(rows: DataFrame, keys: list[str], n_shards: int = N_SHARDS, ro
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, **options) -> DataFrame:
-    """docs with shard and slot. Only ids and hashes take part in the shuffle's steps; texts move once, to their shard.
+    """docs with shard and slot, in place of own columns of these names.
 
-    Rows that agree in doc_id, source and text are interchangeable and share out their places.
+    Only ids and hashes take part in the shuffle's steps; texts move once, to their places, as parts
+    of rows that travel as one value. Rows that agree in doc_id, source and text are interchangeable
+    and share out their places.
     """
-    columns = docs.columns
     print_of = [F.xxhash64("text", "source").alias("_print"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc")]
-    slim = docs.select("doc_id", *print_of)
-    places = assign_shards(slim, ["doc_id", "_print", "_crc"], n_shards, **options)
     same = Window.partitionBy("doc_id", "_print", "_crc")
+    places = assign_shards(docs.select("doc_id", *print_of), ["doc_id", "_print", "_crc"], n_shards, **options)
     places = places.withColumn("_nth", F.row_number().over(same.orderBy("shard", "slot")))
-    rows = docs.select(*columns, *print_of).withColumn("_nth", F.row_number().over(same.orderBy(F.lit(0))))
-    match = [F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("r._print") == F.col("p._print"), F.col("r._crc") == F.col("p._crc"), F.col("r._nth") == F.col("p._nth")]
-    return rows.alias("r").join(places.alias("p"), match).select(*[F.col(f"r.`{c}`") for c in columns], "p.shard", "p.slot")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("_row")
+    rows = docs.select("doc_id", *print_of, row).withColumn("_nth", F.row_number().over(same.orderBy(F.lit(0))))
+    match = F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
+    for c in ("_print", "_crc", "_nth"):
+        match &= F.col(f"r.{c}") == F.col(f"p.{c}")
+    return rows.alias("r").join(places.alias("p"), match).select("r._row.*", "p.shard", "p.slot")
 
 
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
