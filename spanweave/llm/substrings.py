@@ -14,11 +14,14 @@ started earlier). Texts that are equal as a whole are one class with one member
    others. Inside a run of suffixes that agree in `length` bytes the order is that of the texts, so
    the previous smaller position is the neighbour above: a longest previous factor of at least
    `length` starts at every suffix but the run's first.
-4. A group of more than MOST_PER_GROUP entries is not sorted in a task. Its suffixes get their
-   `length`-byte names where their text lies, and Spark sorts the names.
+4. A group of more than MOST_PER_GROUP entries is not sorted in a task. Its windows are cut into
+   pieces by their distance from the anchor: all of an entry's, then 64 windows, then 8, then 1. Spark sorts the pieces
+   by the hash of the bytes that all their windows share, and by that of all their bytes. Equal
+   pieces are settled at once, and a piece alike no other in its shared bytes needs no more work;
+   of the others one of each kind is taken apart further.
 
-The anchors' hashes, not texts, are counted over the corpus; the text moves once, to its entries,
-and only snippets of repeated groups move after that.
+The anchors' hashes, not texts, are counted over the corpus; the text moves once (compressed), to
+its entries, and only snippets of repeated groups move after that.
 
 Defined cases: a null text has no bytes, like an empty one; texts shorter than `length` keep all
 their bytes; repeated rows are copies of one another, and with keep_first one of them stays;
@@ -34,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,26 +222,26 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     sizes = cut(found.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     wanted = found.join(sizes, "key").withColumn("large", F.col("size") > most_per_group)
     wanted = wanted.groupBy("tag", "doc_order").agg(F.collect_list(F.struct("key", "lo", "n", "large")).alias("wanted"))
-    slim = rows.select(F.col("doc_id").alias("id"), "tag", "c1", "c2")
+    slim = rows.select(F.col("doc_id").alias("id"), "tag", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
     named = wanted.join(slim, "tag")
-    text = F.coalesce("text", F.lit(""))
-    # Rows that share doc_id and text stand for one another; each brings the same snippets.
-    located = docs.select("doc_id", text.alias("text")).join(named, F.col("doc_id").eqNullSafe(F.col("id")))
 
-    def check(batches):
-        for part in slices(batches, max_bytes=8_000_000):
-            texts = [t.encode() for t in part.column("text").to_pylist()]
-            mine = np.array([xxhash.xxh3_128_digest(t) for t in texts], dtype="V16").view(np.int64).reshape(-1, 2)
-            keep = (mine[:, 0] == part.column("c1").to_numpy()) & (mine[:, 1] == part.column("c2").to_numpy())
-            yield part.select(["tag", "doc_order", "text", "wanted"]).filter(pa.array(keep))
+    def shrink(batches):
+        for part in slices(batches, max_bytes=4_000_000):
+            texts = [t.encode() for t in part.column("text").fill_null("").to_pylist()]
+            digests = np.array([xxhash.xxh3_128_digest(t) for t in texts], dtype="V16").view(np.int64).reshape(-1, 2)
+            packer = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "c1": digests[:, 0].copy(), "c2": digests[:, 1].copy(), "packed": [packer.compress(t) for t in texts]})
 
-    located = cut(located.select("tag", "doc_order", "text", "wanted", "c1", "c2").mapInArrow(check, "tag long, doc_order long, text string, wanted array<struct<key: long, lo: int, n: int, large: boolean>>"))
+    # Rows that share doc_id and text stand for one another; each brings the same snippets.
+    packed = docs.select("doc_id", "text").mapInArrow(shrink, "doc_id long, c1 long, c2 long, packed binary")
+    match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))
+    located = cut(packed.join(named, match).select("tag", "doc_order", "packed", "wanted"))
 
     def snip(batches):
-        for part in slices(batches, max_bytes=2_000_000):
+        for part in slices(batches, "packed", max_bytes=500_000):
             out = []
-            for tag, doc_order, text, wanted in zip(*(part.column(c).to_pylist() for c in ("tag", "doc_order", "text", "wanted"))):
-                data = text.encode()
+            for tag, doc_order, packed, wanted in zip(*(part.column(c).to_pylist() for c in ("tag", "doc_order", "packed", "wanted"))):
+                data = zstandard.decompress(packed)
                 out += [(w["key"], tag, doc_order, w["lo"], w["n"], data[w["lo"] : w["lo"] + w["n"] + length - 1]) for w in wanted if not w["large"]]
             yield pd.DataFrame(out, columns=["key", "tag", "doc_order", "lo", "n", "snippet"])
 
@@ -252,19 +256,19 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     spans = starts.groupBy("tag").agg(F.collect_list(F.struct("lo", "hi")).alias("intervals"))
 
     def remove(batches):
-        for part in slices(batches, max_bytes=4_000_000):
+        for part in slices(batches, "packed", max_bytes=1_000_000):
             out = []
-            for tag, text, intervals in zip(*(part.column(c).to_pylist() for c in ("tag", "text", "intervals"))):
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
+            for tag, packed, intervals in zip(*(part.column(c).to_pylist() for c in ("tag", "packed", "intervals"))):
+                data = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
                 gone = _removed(intervals, len(data), length)
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 out.append((tag, int(gone.sum()), len(edges) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest(), edges.reshape(-1, 2).tolist()))
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.list_(pa.list_(pa.int64())))], ["tag", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    once = located.select("tag", "text").join(spans, "tag")
+    once = located.select("tag", "packed").join(spans, "tag")
     parts = once.mapInArrow(remove, "tag long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>").dropDuplicates(["tag"])
-    whole = rows.select("doc_id", "tag", "n_bytes", "whole_sha256", "c1", "c2").join(classes.filter("copies > 1").join(slim.select("tag", "c1", "c2"), "tag").select("c1", "c2", F.col("tag").alias("first_tag")), ["c1", "c2"], "left")
+    whole = rows.select("doc_id", "tag", "n_bytes", "whole_sha256", "c1", "c2").join(classes.filter("copies > 1").join(slim.select("tag", "d1", "d2"), "tag").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("tag").alias("first_tag")), ["c1", "c2"], "left")
     copied = F.col("first_tag").isNotNull() & (F.col("n_bytes") >= length)
     if keep_first:
         copied &= F.col("first_tag") != F.col("tag")
@@ -280,30 +284,78 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     )
 
 
-def _large_groups(located: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """tag, lo, hi for the windows of groups too large for a task: Spark sorts their names."""
-    fields = pa.schema([("key", "int64"), ("name", "int64"), ("tag", "int64"), ("doc_order", "int64"), ("start", "int32")])
+#: Windows in a piece of each level, and the Spark type of a level's pieces inside those above.
+PIECES = (LENGTH, 64, 8, 1)
+_PIECE = "piece: int, shared: long, full: long, lo: int, n: int"
+
 
-    def names(batches):
-        for part in slices(batches, max_bytes=500_000):
-            for tag, doc_order, text, wanted in zip(*(part.column(c).to_pylist() for c in ("tag", "doc_order", "text", "wanted"))):
+def _pieces(anchor: int, lo: int, n: int, h: dict[int, np.ndarray], length: int, level: int = 0) -> list[dict]:
+    """The windows that start at lo and after, cut into pieces by distance from the anchor."""
+    width, found = (length if level == 0 else PIECES[level]), []
+    for piece in range((anchor - lo - n + 1) // width, (anchor - lo) // width + 1):
+        first, last = anchor - piece * width - width + 1, anchor - piece * width
+        begin, end = max(first, lo), min(last, lo + n - 1)
+        row = {"piece": piece, "shared": _hash_of(h, last, first + length), "full": _hash_of(h, begin, end + length) ^ (end - begin) ^ (last - end) << 8, "lo": begin, "n": end - begin + 1}
+        if level + 1 < len(PIECES):
+            row["parts"] = _pieces(anchor, begin, end - begin + 1, h, length, level + 1)
+        found.append(row)
+    return found
+
+
+def _hash_of(h: dict[int, np.ndarray], begin: int, end: int) -> int:
+    """Hash of the bytes from begin to end; of less than 128 bytes only their number."""
+    value = end - begin
+    if value < 128:
+        return value
+    for at in (*range(begin, end - 127, 128), end - 128):
+        value = ((value ^ int(h[at])) * 0x9E3779B97F4A7C15 + 0x632BE5AB) & 0xFFFFFFFFFFFFFFFF
+        value ^= value >> 31
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _large_groups(located: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """tag, lo, hi for the windows of groups too large for a task: Spark sorts pieces of them."""
+    kind = _PIECE
+    for _ in PIECES[1:]:
+        kind = f"{_PIECE}, parts: array<struct<{kind}>>"
+    schema = f"key long, tag long, doc_order long, {kind.replace(':', '', 5).replace('parts:', 'parts', 1)}"
+    piece = [("piece", pa.int32()), ("shared", pa.int64()), ("full", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
+    fields = piece
+    for _ in PIECES[1:]:
+        fields = [*piece, ("parts", pa.list_(pa.struct(fields)))]
+    types = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("doc_order", pa.int64()), *fields])
+
+    def cut_up(batches):
+        for part in slices(batches, "packed", max_bytes=200_000):
+            out = []
+            for tag, doc_order, packed, wanted in zip(*(part.column(c).to_pylist() for c in ("tag", "doc_order", "packed", "wanted"))):
                 large = [w for w in wanted if w["large"]]
                 if not large:
                     continue
-                h = block_hashes(np.frombuffer(text.encode(), dtype=np.uint8), (16, 128))
-                at = np.concatenate([np.arange(w["lo"], w["lo"] + w["n"]) for w in large])
-                key = np.repeat([w["key"] for w in large], [w["n"] for w in large])
-                name = np.zeros(len(at), dtype=np.uint64)
-                for k in [*range(0, length - 127, 128), length - 128]:
-                    name = _mix(name + h[128][at + k])
-                yield pa.RecordBatch.from_pydict({"key": key, "name": name.view(np.int64), "tag": np.full(len(at), tag), "doc_order": np.full(len(at), doc_order), "start": at.astype(np.int32)}, schema=fields)
-
-    rows = located.mapInArrow(names, "key long, name long, tag long, doc_order long, start int").dropDuplicates()
-    runs = rows.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc_order", "tag", "start")).alias("first")).filter("n > 1")
-    again = rows.join(runs, ["key", "name"])
-    if keep_first:
-        again = again.filter(F.struct("doc_order", "tag", "start") != F.col("first"))
-    return again.select("tag", F.col("start").alias("lo"), F.col("start").alias("hi"))
+                h = block_hashes(np.frombuffer(zstandard.decompress(packed), dtype=np.uint8), (32, 128))
+                rank = _mix(h[32]) >> np.uint64(26)
+                for w in large:
+                    anchor = w["lo"] + int(np.argmin(rank[w["lo"] : w["lo"] + length - GRAM + 1]))
+                    out += [{"key": w["key"], "tag": tag, "doc_order": doc_order, **p} for p in _pieces(anchor, w["lo"], w["n"], h[128], length)]
+            yield pa.RecordBatch.from_pylist(out, schema=types)
+
+    rows = located.mapInArrow(cut_up, schema).dropDuplicates(["key", "tag", "lo"])
+    found = None
+    for level in range(len(PIECES)):
+        rows = cut(rows)
+        name = ["key", "piece", "shared", "full"]
+        kinds = cut(rows.groupBy(*name).agg(F.count("*").alias("members"), F.min(F.struct("doc_order", "tag", "lo")).alias("first")))
+        again = rows.join(kinds.filter("members > 1"), name)
+        if keep_first:
+            again = again.filter(F.struct("doc_order", "tag", "lo") != F.col("first"))
+        settled = again.select("tag", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+        found = settled if found is None else found.union(settled)
+        if level + 1 < len(PIECES):
+            mixed = kinds.groupBy("key", "piece", "shared").agg(F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+            first = kinds.select(*name, "first.doc_order", "first.tag", "first.lo").join(mixed, ["key", "piece", "shared"])
+            opened = rows.join(first, [*name, "doc_order", "tag", "lo"]).select("key", "tag", "doc_order", F.explode("parts").alias("part"))
+            rows = opened.select("key", "tag", "doc_order", "part.*")
+    return found
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
