@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .shared import cut, documents
 from .words import slices
 
@@ -142,22 +142,6 @@ def golay_keys(fp: np.ndarray, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"key": keys, "fp": fp[rows], "stored": np.arange(len(rows)) < len(kept) * len(fp)})
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node of the links to the smallest node that it reaches in them."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        for x in (a, b, root[a], root[b]):
-            np.minimum.at(new, x, low)
-        new = new[new]
-        if (new == root).all():
-            return nodes, nodes[root]
-        root = new
-
-
 def _links_within(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between stored and other rows of equal keys; rows are sorted by key, stored ones first."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -189,7 +173,7 @@ def _meet(batches, bits: int):
 
     def links(pdf):
         a, b = _links_within(pdf["key"].to_numpy(), pdf["fp"].to_numpy(), pdf["stored"].to_numpy(), bits)
-        nodes, roots = _forest(a, b)
+        nodes, roots = forest(a, b)
         return pd.DataFrame({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
 
     for pdf in batches:
