@@ -31,7 +31,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
@@ -43,6 +44,9 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 MOST_PER_KEY = 4096
+#: Bands and MinHash values in each; up to so many sets under one key are all paired.
+BANDS, ROWS = 16, 4
+ALL_PAIRS = 16
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -223,17 +227,82 @@ def simhash_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, size: int = 5, bits: int = 8) -> DataFrame:
-    """The rows of docs that name their group. At eight bits of 64 SimHash estimates a Jaccard similarity of 0.86.
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """tag (unique), doc_id, t1, t2 (the text's hashes), node (the set's hash), n, bands and shingles (distinct) of each row of docs."""
 
-    Of repeated rows of the document that names a group, one stays.
+    def run(batches):
+        task, count = TaskContext.get().partitionId() << 32, 0
+        factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for part in slices(batches, max_bytes=2_000_000):
+            sets = [np.unique(np.array(shingle_hashes(t, size), dtype=np.uint64)) for t in part.column("text").to_pylist()]
+            bands = [band_keys(s, factors) for s in sets]
+            longs = lambda lists: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64)))
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"tag": task + count + np.arange(len(sets)), "doc_id": part.column("doc_id"), "t1": part.column("t1"), "t2": part.column("t2"), "node": nodes, "n": [len(s) for s in sets], "bands": longs(bands), "shingles": longs(sets)})
+            count += len(sets)
+
+    hashed = docs.select("doc_id", "text", *(h.alias(n) for n, h in text_hashes().items()))
+    return hashed.mapInArrow(run, "tag long, doc_id long, t1 long, t2 long, node long, n long, bands array<long>, shingles array<long>")
+
+
+def text_hashes() -> dict[str, Column]:
+    return {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+
+
+def band_keys(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS MinHash values; none for an empty set."""
+    if not len(shingles):
+        return shingles
+    least = np.full(len(factors), (1 << 64) - 1, dtype=np.uint64)
+    for k in range(0, len(shingles), 4096):
+        np.minimum(least, (shingles[k : k + 4096, None] * factors).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """a, b: nodes of rows (see shingle_sets) that share a band and have at least that Jaccard similarity, counted exactly."""
+    firsts = rows.groupBy("node").agg(F.min("tag").alias("tag")).select("tag")
+    banded = cut(rows.select("tag", "node", "n", "bands").join(firsts, "tag", "left_semi").select("tag", "node", "n", F.explode("bands").alias("key")))
+    me = F.struct("node", "tag", "n")
+    met = banded.groupBy("key").agg(F.count("*").alias("members"), F.min(me).alias("first")).filter("members > 1")
+    dealt = banded.join(met, "key").withColumn("deal", F.when(F.col("members") > all_pairs, F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 512))).otherwise(0))
+    before = F.collect_list(me).over(Window.partitionBy("key", "deal").orderBy("node").rowsBetween(1 - all_pairs, -1))
+    some = F.concat(F.slice("before", F.greatest(F.size("before") - 1, F.lit(1)), 2), F.array("first"))
+    others = F.explode(F.when(F.col("members") > all_pairs, some).otherwise(F.col("before")))
+    pairs = dealt.withColumn("before", before).select("node", "tag", "n", others.alias("o")).filter("o.node < node")
+    pairs = pairs.filter(F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
+    pairs = cut(pairs.select(F.col("o.node").alias("a"), F.col("o.tag").alias("a_tag"), F.col("node").alias("b"), F.col("tag").alias("b_tag")).distinct())
+    of = lambda tag, name: rows.select(F.col("tag").alias(tag), F.col("shingles").alias(name))
+    both = pairs.join(of("a_tag", "x"), "a_tag").join(of("b_tag", "y"), "b_tag")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of docs; pairs whose sets of shingles have that Jaccard similarity are linked, and groups are what links connect.
+
+    Candidates share one of BANDS bands of ROWS MinHash values: of pairs at 0.8 one in 4,500 shares none.
+    A row is known by its doc_id and its text, so rows that repeat an id with another text, or have
+    none, are judged by their own text. The row of the smallest doc_id stays, null last, and one of its repeats.
     """
-    groups = cut(simhash_groups(docs, size, bits))
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    rows = cut(shingle_sets(docs, size))
+    roots = connected_components(similar_sets(rows, similarity))
+    keyed = rows.select("doc_id", "t1", "t2", "node").join(roots, "node", "left").select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root"))
+    keyed = cut(keyed.groupBy("doc_id", "t1", "t2", "root").agg(F.count("*").alias("times")))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    firsts = keyed.groupBy("root").agg(F.min(key).alias("first"))
+    judged = cut(keyed.join(firsts, "root").select(F.col("doc_id").alias("id"), F.col("t1").alias("h1"), F.col("t2").alias("h2"), "times", (key == F.col("first")).alias("stays")))
+    hashes = text_hashes()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (hashes["t1"] == F.col("h1")) & (hashes["t2"] == F.col("h2"))
+    kept = docs.join(judged.filter("not stays").select("id", "h1", "h2"), same, "left_anti")
+    repeated = judged.filter("stays and times > 1").select("id", "h1", "h2")
+    if repeated.isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id"])
+    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
