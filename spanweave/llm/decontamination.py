@@ -7,14 +7,16 @@ item can stand lies whole in some passage. Items lie in blocks; a passage first
 term's largest weight, then its largest weight in each block, and only blocks whose bound
 reaches the threshold are scored exactly (block-max WAND). All items at or above the threshold are
 retrieved, and kept if enough word triples of both the question (first sentence) and the
-answer (the rest) stand in the passage.
+answer (the rest) stand in the passage. A part of under eight words, where one edit would spoil over
+half of the triples, is held by its pairs, one of under five by its words. Items of under eight
+words are kept only if all their words stand in the passage, one after the other.
 
 The documents are only mapped over. The index is sent to the executors in parts of at most
 MOST_POSTINGS postings each, with one pass over the documents for each part: what is
 broadcast has a bound, whatever the number of items.
 
-Defined cases: a null or empty text contains nothing; null and blank items, and items of fewer
-than eight words, which any text may contain, are not searched; repeated items are each reported;
+Defined cases: a null or empty text contains nothing; null and blank items, and items of
+punctuation alone, are not searched; repeated items are each reported;
 repeated rows are judged alike; an empty benchmark leaves every document alone; other columns of
 the tables are carried along unread.
 """
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, documents
+from .shared import cut, documents, word_count
 from .words import slices, split_words
 
 PUNCTUATION = ".,;:!?\"'()[]{}|*#&%$<>"
@@ -100,9 +102,9 @@ def halves(text: str) -> tuple[list[str], list[str]]:
 
 def build_index(items: DataFrame, most_postings: int = MOST_POSTINGS) -> list[Index]:
     """The index in parts of bounded size. items: item_id, text."""
-    count = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    long_enough = items.select("item_id", "text").filter(F.col("text").isNotNull() & (count >= LEAST_WORDS))
-    named = cut(long_enough.withColumn("item", F.xxhash64("item_id", "text", F.monotonically_increasing_id())).withColumn("n", count))
+    count = word_count(F.col("text"))
+    with_words = items.select("item_id", "text").filter(count > 0)
+    named = cut(with_words.withColumn("item", F.xxhash64("item_id", "text", F.monotonically_increasing_id())).withColumn("n", count))
     total, span = named.agg(F.sum("n"), F.max("n")).first()
     n_parts = -(-(total or 0) // most_postings)
     weights = cut(_postings(named)) if n_parts else None
@@ -158,14 +160,21 @@ def retrieve(index: Index, passage: np.ndarray, code: np.ndarray, threshold: flo
 
 
 def _overlap(part: list[str], words: list[str]) -> float:
-    n = min(3, len(part))
-    if not n:
+    """The share of the part's word triples that words have; of pairs or words if one edit could spoil over half of the triples."""
+    if not part:
         return 1.0
+    n = 3 if len(part) >= 8 else 2 if len(part) >= 5 else 1
     grams = lambda x: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
     want = grams(part)
     return len(want & grams(words)) / len(want)
 
 
+def _stands_in(item: list[str], words: list[str]) -> bool:
+    """Whether all words of the item stand in words, one after the other; tokens of punctuation alone are passed over."""
+    joined = lambda x: f" {' '.join(w for w in x if w)} "
+    return joined(item) in joined(words)
+
+
 def hits(texts: pa.Array, index: Index, threshold: float, least: float) -> pd.DataFrame:
     """row, item, score, question_overlap, answer_overlap: the items that texts contain, best passage of each."""
     terms, at, counts = terms_of(texts)
@@ -190,6 +199,8 @@ def hits(texts: pa.Array, index: Index, threshold: float, least: float) -> pd.Da
         low = start[r] + (p - base[r]) * half
         words = [names[x] for x in at[low : min(low + 2 * half, start[r] + counts[r])]]
         question, answer = (_overlap(part, words) for part in index.parts[i])
+        if sum(map(len, index.parts[i])) < LEAST_WORDS and not _stands_in([w for part in index.parts[i] for w in part], words):
+            continue
         if question >= least and answer >= least:
             found.append((r, i, s, question, answer))
     out = pd.DataFrame(found, columns=["row", "item", "score", "question_overlap", "answer_overlap"])
