@@ -263,6 +263,18 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return keys
 
 
+def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose tags are asked for, and few others, found by a bitmap of fixed size (1 MB) and without a shuffle of rows."""
+    bit = F.pmod(F.xxhash64("tag"), F.lit(1 << 23))
+    part, word = F.shiftright(bit, 10), F.shiftright(bit, 6) % 16
+    bits = asked.select(part.alias("part"), word.alias("word"), (bit % 64).alias("bit"))
+    words = bits.groupBy("part", "word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
+    marks = words.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("marks"))
+    found = rows.withColumn("part", part).join(F.broadcast(marks), "part")
+    is_set = F.expr("shiftrightunsigned(marks[shiftright(pmod(xxhash64(tag), 8388608L), 6) % 16], cast(pmod(xxhash64(tag), 64L) as int)) & 1L = 1L")
+    return found.filter(is_set).select(*rows.columns)
+
+
 def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """a, b: nodes of rows (see shingle_sets) that share a band and have at least that Jaccard similarity, counted exactly."""
     firsts = rows.groupBy("node").agg(F.min("tag").alias("tag")).select("tag")
@@ -276,7 +288,9 @@ def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS)
     pairs = dealt.withColumn("before", before).select("node", "tag", "n", others.alias("o")).filter("o.node < node")
     pairs = pairs.filter(F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
     pairs = cut(pairs.select(F.col("o.node").alias("a"), F.col("o.tag").alias("a_tag"), F.col("node").alias("b"), F.col("tag").alias("b_tag")).distinct())
-    of = lambda tag, name: rows.select(F.col("tag").alias(tag), F.col("shingles").alias(name))
+    asked = pairs.select(F.explode(F.array("a_tag", "b_tag")).alias("tag"))
+    sets = cut(marked(rows.select("tag", "shingles"), asked))
+    of = lambda tag, name: sets.select(F.col("tag").alias(tag), F.col("shingles").alias(name))
     both = pairs.join(of("a_tag", "x"), "a_tag").join(of("b_tag", "y"), "b_tag")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
