@@ -43,6 +43,12 @@ def parent_of(path: Column) -> Column:
     return F.regexp_extract(path, "^(.+)[/:][^/:]*$", 1)
 
 
+def ancestors_of(path: Column) -> Column:
+    """All paths above path, the root first."""
+    inner = _cuts(path, 2, F.length(path))
+    return F.concat(F.when(_leading(path) != "", F.array(_leading(path))).otherwise(F.array().cast("array<string>")), F.transform(inner, lambda i: path.substr(F.lit(1), i - 1)))
+
+
 def _rounded(n: Column) -> Column:
     """Half goes up, below zero too."""
     return F.floor(n + 0.5).cast("int")

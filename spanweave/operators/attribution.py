@@ -21,48 +21,54 @@ def demands(phases: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumns({"exact": F.when(F.col("rule") == "exact", F.col("demand")).otherwise(0.0), "variable": F.when(F.col("rule") == "variable", F.col("demand")).otherwise(0.0)}).drop("rule", "demand")
 
 
-def demand_curve(metrics: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
+def demand_curve(metrics: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str], bucket: float | None = None) -> DataFrame:
     """Per series `metric` and slice of its samples: usage, capacity, summed exact and variable demand, zero where no phase is active.
 
     The slices end where a sample or a demand ends.
     """
     samples = metrics.select(*on, "metric", "capacity", "usage", START, END)
-    met = overlap_join(samples, demands(phases, rules).select(*on, START, END, "exact", "variable"), ("m", "p"), [(c, c) for c in on])
+    met = overlap_join(samples, demands(phases, rules).select(*on, START, END, "exact", "variable"), ("m", "p"), [(c, c) for c in on], bucket)
     active = met.select(START, END, *[F.col(f"m_{c}").alias(c) for c in (*on, "metric", "capacity", "usage")], F.col("m_start_time").alias("sample"), F.col("p_exact").alias("exact"), F.col("p_variable").alias("variable"))
     idle = samples.withColumns({"sample": F.col(START), "exact": F.lit(0.0), "variable": F.lit(0.0)}).select(*active.columns)
     return temporal_aggregate(active.union(idle), [*on, "metric", "sample", "capacity", "usage"], {"exact": F.sum("exact"), "variable": F.sum("variable")}, merge=False)
 
 
-def _spread(value: float, capacity: float, part: np.ndarray, exact: np.ndarray, variable: np.ndarray) -> np.ndarray:
-    """Usage of the slices of one sample: by exact demand, then by variable demand, then evenly; never over capacity."""
-    out, rest = np.zeros(len(part)), value
-    left = float((exact * part).sum())
-    for i in np.argsort(-exact, kind="stable"):
-        if left <= 0:
-            break
-        out[i] = min(rest / left * exact[i], exact[i], capacity)
-        rest, left = max(rest - out[i] * part[i], 0.0), left - exact[i] * part[i]
-    if rest > 0:
-        left = float((variable * part).sum())
-        with np.errstate(divide="ignore", invalid="ignore"):
-            urgency = variable / (capacity - out)
-        for i in np.argsort(-np.nan_to_num(urgency, nan=-1.0), kind="stable"):
-            if left <= 0:
-                break
-            more = min(rest / left * variable[i], capacity - out[i])
-            out[i] += more
-            rest, left = max(rest - more * part[i], 0.0), left - variable[i] * part[i]
-    if rest > 0:
-        left = 1.0
-        for i in np.argsort(-out, kind="stable"):
-            if left <= 1e-12:
-                break
-            more = min(rest / left, capacity - out[i])
+def spread(value: np.ndarray, capacity: np.ndarray, sizes: np.ndarray, part: np.ndarray, exact: np.ndarray, variable: np.ndarray) -> np.ndarray:
+    """Usage of the slices of many samples, sizes[i] slices of sample i end to end: by exact demand, then by variable demand, then evenly; never over capacity.
+
+    part: the share of its sample's time that a slice has. A step deals with one slice of every sample.
+    """
+    of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    out, rest = np.zeros(len(part)), np.asarray(value, dtype=float).copy()
+
+    def passed(rank: np.ndarray, weight: np.ndarray, left: np.ndarray, most, least: float = 0.0) -> None:
+        """Hand rest out in falling order of rank, in proportion to weight, while over least of it is left."""
+        order = np.lexsort((-rank, of))
+        for k in range(int(sizes.max()) if len(sizes) else 0):
+            live = np.flatnonzero((sizes > k) & (left > least) & (rest > 0))
+            if not len(live):
+                return
+            i = order[first[live] + k]
+            more = np.minimum(rest[live] / left[live] * weight[i], most(i))
             out[i] += more
-            rest, left = max(rest - more * part[i], 0.0), left - part[i]
+            rest[live] = np.maximum(rest[live] - more * part[i], 0.0)
+            left[live] -= weight[i] * part[i]
+
+    total = lambda x: np.bincount(of, x * part, minlength=len(sizes))
+    room = lambda i: capacity[of[i]] - out[i]
+    passed(exact, exact, total(exact), lambda i: np.minimum(exact[i], room(i)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        urgency = np.nan_to_num(variable / (capacity[of] - out), nan=-1.0)
+    passed(urgency, variable, total(variable), room)
+    passed(out.copy(), np.ones(len(part)), np.ones(len(sizes)), room, 1e-12)
     return out
 
 
+def _spread(value: float, capacity: float, part: np.ndarray, exact: np.ndarray, variable: np.ndarray) -> np.ndarray:
+    """spread for one sample."""
+    return spread(np.array([value]), np.array([capacity]), np.array([len(part)]), part, exact, variable)
+
+
 def upsample(curve: DataFrame, on: list[str]) -> DataFrame:
     """curve with usage spread over the slices of each sample; samples of one slice keep theirs and bypass Python.
 
@@ -70,34 +76,64 @@ def upsample(curve: DataFrame, on: list[str]) -> DataFrame:
     """
 
     @F.pandas_udf("array<double>")
-    def spread(usage: pd.Series, capacity: pd.Series, length: pd.Series, exact: pd.Series, variable: pd.Series) -> pd.Series:
-        rows = zip(usage, capacity, length, exact, variable)
-        return pd.Series([_spread(u, c, np.asarray(t) / np.sum(t), np.asarray(x), np.asarray(v)) for u, c, t, x, v in rows])
+    def shares(usage: pd.Series, capacity: pd.Series, length: pd.Series, exact: pd.Series, variable: pd.Series) -> pd.Series:
+        sizes = length.str.len().to_numpy(dtype=np.int64)
+        length, exact, variable = (np.concatenate([np.zeros(0), *x]) for x in (length, exact, variable))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        part = length / np.bincount(of, length, minlength=len(sizes))[of]
+        found = spread(usage.to_numpy(dtype=float), capacity.to_numpy(dtype=float), sizes, part, exact, variable)
+        return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else [], index=usage.index)
 
     keys, columns = [*on, "metric", "sample", "capacity", "usage"], curve.columns
     parts = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(START, END, "_duration", "exact", "variable"))).alias("part"))
     each = lambda name: F.transform("part", lambda p: p[name])
-    many = parts.filter(F.size("part") > 1).withColumn("share", spread("usage", "capacity", each("_duration"), each("exact"), each("variable")))
+    many = parts.filter(F.size("part") > 1).withColumn("share", shares("usage", "capacity", each("_duration"), each("exact"), each("variable")))
     many = many.select(*keys[:-1], F.explode(F.arrays_zip("part", "share")).alias("z")).select(*keys[:-1], "z.part.*", F.col("z.share").alias("usage"))
     one = parts.filter(F.size("part") == 1).select(*keys[:-1], F.explode("part").alias("p"), "usage").select(*keys[:-1], "p.*", "usage")
     return many.union(one).select(*columns)
 
 
-def attribute(curve: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
-    """usage and capacity of each phase in each slice of curve, proportional to its demand."""
+def attribute(curve: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str], bucket: float | None = None) -> DataFrame:
+    """usage and capacity of each phase in each slice of curve, proportional to its demand; sampled and most: those of the whole metric.
+
+    Divisions are safe, as a filter on the result may be computed for pairs that do not overlap.
+    """
     wanted = demands(phases, rules).select(*on, "phase", "type", START, END, "exact", "variable")
-    met = overlap_join(curve, wanted, ("m", "p"), [(c, c) for c in on])
+    met = overlap_join(curve, wanted, ("m", "p"), [(c, c) for c in on], bucket)
     value, limit, d, v = F.col("m_usage"), F.col("m_capacity"), F.col("p_exact"), F.col("p_variable")
-    exact = lambda x: F.least(x * d / F.col("m_exact"), d)
-    variable = lambda x: F.greatest(x - F.col("m_exact"), F.lit(0.0)) * v / F.col("m_variable")
+    exact = lambda x: F.least(F.try_divide(x * d, F.col("m_exact")), d)
+    variable = lambda x: F.try_divide(F.greatest(x - F.col("m_exact"), F.lit(0.0)) * v, F.col("m_variable"))
     share = lambda x: F.when(d > 0, exact(x)).when(v > 0, variable(x)).otherwise(0.0)
     room = F.when((d > 0) | (v > 0), share(limit)).otherwise(limit)
-    return met.select(START, END, "_duration", F.col("m_metric").alias("metric"), F.col("p_phase").alias("phase"), F.col("p_type").alias("type"), *[F.col(f"m_{c}").alias(c) for c in on], share(value).alias("usage"), room.alias("capacity"))
+    return met.select(
+        START, END, "_duration", F.col("m_metric").alias("metric"), F.col("p_phase").alias("phase"), F.col("p_type").alias("type"), *[F.col(f"m_{c}").alias(c) for c in on],
+        share(value).alias("usage"), room.alias("capacity"), value.alias("sampled"), limit.alias("most"),
+    )
 
 
-def attribute_composite(leaves: DataFrame, parent: str) -> DataFrame:
-    """Usage and capacity of composite phases: the sums of their leaves', slice by slice. parent names the composite's column."""
-    return temporal_aggregate(leaves, ["metric", parent], {"usage": F.sum("usage"), "capacity": F.sum("capacity")}, merge=False)
+def attribute_composite(leaves: DataFrame, parent: str, spans: DataFrame | None = None) -> DataFrame:
+    """Usage and capacity of composite phases: the sums of their leaves', slice by slice. parent names the composite's column.
+
+    spans (parent, interval) has the time of each composite; with it, metrics that its leaves use are
+    zero where no leaf is active, and what lies outside is left out.
+    """
+    rows = leaves.select("metric", parent, START, END, "usage", "capacity")
+    if spans is not None:
+        zero = rows.select("metric", parent).distinct().join(spans.select(parent, START, END), parent)
+        rows = overlap_join(rows, spans.select(parent, START, END), ("r", "s"), [(parent, parent)]).select(F.col("r_metric").alias("metric"), F.col(f"r_{parent}").alias(parent), START, END, F.col("r_usage").alias("usage"), F.col("r_capacity").alias("capacity"))
+        rows = rows.unionByName(zero.withColumns({"usage": F.lit(0.0), "capacity": F.lit(0.0)}))
+    return temporal_aggregate(rows, ["metric", parent], {"usage": F.sum("usage"), "capacity": F.sum("capacity")}, merge=False)
+
+
+def mapped(pairs: DataFrame, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+    """The pairs of phases and metrics that may meet: every mapped name agrees, or one side has no value for it.
+
+    left and right name the columns with a phase's and a metric's value for each name.
+    """
+    for name in left.keys() & right.keys():
+        a, b = F.col(left[name]), F.col(right[name])
+        pairs = pairs.filter(a.isNull() | b.isNull() | (a == b))
+    return pairs
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:

@@ -71,8 +71,9 @@ def slices(df: DataFrame, keys: list[str], bucket: float | None = None) -> DataF
 def temporal_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, Column], bucket: float | None = None, merge: bool = True) -> DataFrame:
     """Aggregates over the rows active in each elementary slice, by group of keys.
 
-    Slices without an active row give none. Neighbouring slices of equal values are merged. Without
-    keys, give a bucket (seconds): slices and rows then meet in buckets of time.
+    Slices without an active row give none. Neighbouring slices of equal values are merged. With a
+    bucket (seconds; needed without keys) slices and rows meet in buckets of time, so a hot group is
+    spread over tasks and no slice meets rows that are far from it.
     """
     cut = slices(df, keys, bucket)
     if bucket:
@@ -82,9 +83,9 @@ def temporal_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, Col
     else:
         joined = df.join(cut, keys)
     active = joined.filter((F.col(START) <= F.col("s")) & (F.col(END) >= F.col("e")))
-    out = active.groupBy(*keys, "s", "e").agg(*[c.alias(n) for n, c in aggregates.items()])
+    out = active.groupBy(*keys, *(["_b"] if bucket else []), "s", "e").agg(*[c.alias(n) for n, c in aggregates.items()])
     out = out.select(F.col("s").alias(START), F.col("e").alias(END), (F.col("e") - F.col("s")).alias(DURATION), *keys, *aggregates)
-    return coalesce_intervals(out, keys, list(aggregates)) if merge else out
+    return coalesce_intervals(out, keys, list(aggregates), bucket) if merge else out
 
 
 def temporal_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -99,16 +100,29 @@ def temporal_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return with_duration(out.filter("n > 0").drop("n"))
 
 
-def coalesce_intervals(df: DataFrame, series: list[str], values: list[str]) -> DataFrame:
-    """Merge consecutive rows of a series when one ends where the next begins and all values agree."""
-    over = Window.partitionBy(*series).orderBy(START)
+def coalesce_intervals(df: DataFrame, series: list[str], values: list[str], bucket: float | None = None) -> DataFrame:
+    """Merge consecutive rows of a series when one ends where the next begins and all values agree.
+
+    With bucket, rows are first merged inside buckets of time. Only the first and the last run of each
+    bucket then meet their neighbours, two rows a bucket whatever the number of rows.
+    """
+    if not bucket:
+        return with_duration(_merged(df, series, series, values)).select(*RESERVED, *series, *values)
+    runs = _merged(df.withColumn("_b", F.floor(F.col(START) / bucket)), [*series, "_b"], [*series, "_b"], values)
+    ends = Window.partitionBy(*series, "_b")
+    runs = runs.withColumn("_edge", (F.col(START) == F.min(START).over(ends)) | (F.col(START) == F.max(START).over(ends)))
+    edges = _merged(runs.filter("_edge"), series, series, values)
+    return with_duration(edges.unionByName(runs.filter("not _edge").drop("_b", "_edge"))).select(*RESERVED, *series, *values)
+
+
+def _merged(df: DataFrame, by: list[str], series: list[str], values: list[str]) -> DataFrame:
+    over = Window.partitionBy(*by).orderBy(START)
     same = F.lag(END).over(over) == F.col(START)
     for v in values:
         same = same & F.lag(v).over(over).eqNullSafe(F.col(v))
     marked = df.withColumn("_new", F.when(same, 0).otherwise(1))
     runs = marked.withColumn("_run", F.sum("_new").over(over))
-    out = runs.groupBy(*series, "_run").agg(F.min(START).alias(START), F.max(END).alias(END), *[F.first(v).alias(v) for v in values])
-    return with_duration(out.drop("_run")).select(*RESERVED, *series, *values)
+    return runs.groupBy(*series, "_run").agg(F.min(START).alias(START), F.max(END).alias(END), *[F.first(v).alias(v) for v in values]).drop("_run")
 
 
 def covered_time(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,7 +154,7 @@ def between(df: DataFrame, start: float, end: float) -> DataFrame:
     return df.filter((F.col(START) < end) & (F.col(END) > start))
 
 
-def series_sum(parts: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+def series_sum(parts: list[DataFrame], keys: list[str], value: str, bucket: float | None = None) -> DataFrame:
     """The sum of several series on their common change points; a series counts as zero where it has no row."""
     rows = reduce(DataFrame.unionByName, [p.select(START, END, *keys, value) for p in parts])
-    return temporal_aggregate(rows, keys, {value: F.sum(value)})
+    return temporal_aggregate(rows, keys, {value: F.sum(value)}, bucket)

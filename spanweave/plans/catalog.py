@@ -21,6 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Buckets of time in seconds: about as long as a sample of a metric lasts.
+WIDTH = 172800.0
+
+
 def C(name):  # noqa: N802
     return F.col(name)
 
@@ -241,14 +245,14 @@ def tjoin_cross(spark, sf_dir):
 
 @query(f"SELECT {_JOINED}, m.path AS m_path, p.path AS p_path, round(m.usage, 6) AS usage FROM metrics m JOIN phases p ON m.user_id = p.user_id AND m.s < p.e AND p.s < m.e")
 def tjoin_equi(spark, sf_dir):
-    return I.overlap_join(V.metrics(spark, sf_dir), V.phases(spark, sf_dir), ("m", "p"), [("user_id", "user_id")]).select(*times3(), "m_path", "p_path", r6("m_usage", "usage"))
+    return I.overlap_join(V.metrics(spark, sf_dir), V.phases(spark, sf_dir), ("m", "p"), [("user_id", "user_id")], WIDTH).select(*times3(), "m_path", "p_path", r6("m_usage", "usage"))
 
 
 @query(f"SELECT {_JOINED}, m.path AS m_path, p.path AS p_path FROM metrics m JOIN phases p ON split_part(m.path, ':', 1) = regexp_extract(p.path, '^(.+)[/:][^/:]*$', 1) AND m.s < p.e AND p.s < m.e WHERE m.type = '/user:click'")
 def tjoin_computed_key(spark, sf_dir):
     m = V.metrics(spark, sf_dir).filter("type = '/user:click'").withColumn("owner", P.parent_of(C("path")))
     p = V.phases(spark, sf_dir).withColumn("owner", P.parent_of(C("path")))
-    return I.overlap_join(m, p, ("m", "p"), [("owner", "owner")]).select(*times3(), "m_path", "p_path")
+    return I.overlap_join(m, p, ("m", "p"), [("owner", "owner")], WIDTH).select(*times3(), "m_path", "p_path")
 
 
 @query(
@@ -259,8 +263,8 @@ WHERE a.type = '/user:click' AND b.type = '/user:error' AND p.type = '/user/view
 )
 def tjoin_three_way(spark, sf_dir):
     m, p = V.metrics(spark, sf_dir), V.phases(spark, sf_dir).filter("type = '/user/view'")
-    two = I.overlap_join(m.filter("type = '/user:click'"), m.filter("type = '/user:error'"), ("a", "b"), [("user_id", "user_id")])
-    three = I.overlap_join(two, p, ("j", "p"), [("a_user_id", "user_id")])
+    two = I.overlap_join(m.filter("type = '/user:click'"), m.filter("type = '/user:error'"), ("a", "b"), [("user_id", "user_id")], WIDTH)
+    three = I.overlap_join(two, p, ("j", "p"), [("a_user_id", "user_id")], WIDTH)
     return three.select(*times(), C("j_a_path").alias("a_path"), C("j_b_path").alias("b_path"), "p_path")
 
 
@@ -290,7 +294,14 @@ def tagg_global(spark, sf_dir):
 
 @query(_sweep("user_id", "SELECT s, e, user_id, usage FROM metrics", "most = max(usage); least = min(usage)"))
 def tagg_keyed(spark, sf_dir):
-    return I.temporal_aggregate(V.metrics(spark, sf_dir), ["user_id"], {"most": F.max("usage"), "least": F.min("usage")}).select("user_id", *times(), r6("most"), r6("least"))
+    return I.temporal_aggregate(V.metrics(spark, sf_dir), ["user_id"], {"most": F.max("usage"), "least": F.min("usage")}, WIDTH).select("user_id", *times(), r6("most"), r6("least"))
+
+
+@query(_sweep("user_id", "SELECT s, e, user_id, path, usage FROM metrics", "n = count(*)::DOUBLE; first_usage = arg_min(usage, (r.s, path))"))
+def tagg_first_row(spark, sf_dir):
+    """A bare column beside an aggregate: its value in the active row that comes first."""
+    found = {"n": N.count(), "first_usage": N.first_row(C("usage"), "_start_time", "path")}
+    return I.temporal_aggregate(V.metrics(spark, sf_dir), ["user_id"], found, WIDTH).select("user_id", *times(), "n", r6("first_usage"))
 
 
 @query(_sweep("user_id", "SELECT s, e, user_id FROM metrics", "n = count(*)::DOUBLE"))
@@ -314,7 +325,7 @@ def coalesce_project(spark, sf_dir):
 (SELECT user_id, t AS s, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS e FROM (SELECT user_id, s AS t FROM metrics UNION SELECT user_id, e FROM metrics)) c
 JOIN metrics r ON r.user_id = c.user_id AND r.s <= c.s AND r.e >= c.e GROUP BY ALL"""))
 def coalesce_after_tagg(spark, sf_dir):
-    return I.temporal_aggregate(V.metrics(spark, sf_dir), ["user_id"], {"large": F.max(C("usage") > 50)}).select("user_id", *times(), "large")
+    return I.temporal_aggregate(V.metrics(spark, sf_dir), ["user_id"], {"large": F.max(C("usage") > 50)}, WIDTH).select("user_id", *times(), "large")
 
 
 # Subqueries and views
@@ -348,7 +359,7 @@ def cached_view(spark, sf_dir):
 def series_sum(spark, sf_dir):
     m = V.metrics(spark, sf_dir).withColumn("cents", F.round(C("usage") * 100).cast("long"))
     parts = [m.filter(f"type = '/user:{t}'") for t in ("click", "view")]
-    return I.series_sum(parts, ["user_id"], "cents").select("user_id", *times(), "cents")
+    return I.series_sum(parts, ["user_id"], "cents", WIDTH).select("user_id", *times(), "cents")
 
 
 @query(
@@ -378,7 +389,7 @@ curve AS (SELECT c.metric, c.sample, c.s, c.e, any_value(m.user_id) AS user_id,
 def _curve(spark, sf_dir):
     m = V.metrics(spark, sf_dir).withColumn("metric", C("path"))
     p = V.phases(spark, sf_dir).withColumn("phase", C("path"))
-    return A.demand_curve(m, p, V.rules(spark), ["user_id"]), p
+    return A.demand_curve(m, p, V.rules(spark), ["user_id"], WIDTH), p
 
 
 @query(_CURVE + "SELECT metric, round(s, 6) AS start_time, round(e, 6) AS end_time, round(exact, 6) AS exact, round(variable, 6) AS variable FROM curve")
@@ -386,23 +397,51 @@ def demand_curve(spark, sf_dir):
     return _curve(spark, sf_dir)[0].select("metric", *times(), r6("exact"), r6("variable"))
 
 
-@query()
+#: The three passes over the slices of each sample, in SQL: each folds a list in the pass's order.
+_FOLD = """list_reduce(l, lambda a, z: {{'rest': greatest(a.rest - (CASE WHEN a.left > {least} AND a.rest > 0 THEN least(a.rest / a.left * {weight}, {most}) ELSE 0 END) * z.p, 0), 'left': a.left - {weight} * z.p,
+  'out': list_append(a.out, CASE WHEN a.left > {least} AND a.rest > 0 THEN least(a.rest / a.left * {weight}, {most}) ELSE 0 END)}}, {{'rest': rest, 'left': l0, 'out': []::DOUBLE[]}})"""
+
+
+def _fold(name: str, source: str, rank: str, weight: str, most: str, left: str, least: str = "0") -> str:
+    item = "{'s': s, 'e': e, 'p': p, 'x': exact, 'v': variable, 'o': got, 'c': capacity}"
+    return f"""
+, {name}_l AS (SELECT metric, sample, any_value(rest) AS rest, list({item} ORDER BY {rank} DESC, s) AS l, {left} AS l0 FROM {source} GROUP BY metric, sample),
+{name}_f AS (SELECT metric, sample, l, {_FOLD.format(weight=weight, most=most, least=least)} AS f FROM {name}_l),
+{name} AS (SELECT metric, sample, z.s, z.e, z.p, z.x AS exact, z.v AS variable, z.c AS capacity, z.o + more AS got, rest FROM (SELECT metric, sample, unnest(l) AS z, unnest(f.out) AS more, f.rest AS rest FROM {name}_f))"""
+
+
+_UPSAMPLED = (
+    """, cut0 AS (SELECT metric, sample, s, e, (e - s) / sum(e - s) OVER w AS p, exact, variable, capacity, 0.0::DOUBLE AS got, usage AS rest, count(*) OVER w AS n FROM curve WINDOW w AS (PARTITION BY metric, sample)),
+many AS (SELECT * FROM cut0 WHERE n > 1)"""
+    + _fold("f1", "many", "exact", "z.x", "least(z.x, z.c)", "sum(exact * p)")
+    + _fold("f2", "f1", "(CASE WHEN capacity = got THEN (CASE WHEN variable > 0 THEN 1e308 ELSE -1 END) ELSE variable / (capacity - got) END)", "z.v", "z.c - z.o", "sum(variable * p)")
+    + _fold("f3", "f2", "got", "1.0::DOUBLE", "z.c - z.o", "1.0::DOUBLE", "1e-12")
+    + """, flat AS (SELECT metric, sample, s, e, got AS usage FROM f3 UNION ALL SELECT metric, sample, s, e, rest FROM cut0 WHERE n = 1),
+up AS (SELECT c.metric, c.sample, c.s, c.e, c.user_id, f.usage, c.capacity, c.exact, c.variable FROM curve c JOIN flat f USING (metric, sample, s, e))"""
+)
+
+
+@query(_CURVE + _UPSAMPLED + "SELECT metric, round(s, 6) AS start_time, round(e, 6) AS end_time, round(usage, 6) AS usage FROM up")
 def upsample(spark, sf_dir):
-    """Greedy passes over the slices of a sample: no SQL; tests hold it against hand-made cases."""
+    """Usage over the slices of each sample, by greedy passes."""
     return A.upsample(_curve(spark, sf_dir)[0], ["user_id"]).select("metric", *times(), r6("usage"))
 
 
-_SHARES = """
-, leaves AS (SELECT c.metric, p.path AS phase, p.type, c.s, c.e, c.user_id, r.exact AS d, r.variable AS v,
+_SHARES = (
+    _UPSAMPLED
+    + """
+, leaves AS (SELECT c.metric, p.path AS phase, p.type, c.s, c.e, c.user_id, c.usage AS sampled, c.capacity AS most, r.exact AS d, r.variable AS v,
   CASE WHEN r.exact > 0 THEN least(c.usage * r.exact / c.exact, r.exact) WHEN r.variable > 0 THEN greatest(c.usage - c.exact, 0) * r.variable / c.variable ELSE 0 END AS usage,
   CASE WHEN r.exact > 0 THEN least(c.capacity * r.exact / c.exact, r.exact) WHEN r.variable > 0 THEN greatest(c.capacity - c.exact, 0) * r.variable / c.variable ELSE c.capacity END AS capacity
-  FROM curve c JOIN phases p ON p.user_id = c.user_id AND c.s < p.e AND p.s < c.e JOIN rules r ON r.type = p.type)
+  FROM up c JOIN phases p ON p.user_id = c.user_id AND c.s < p.e AND p.s < c.e JOIN rules r ON r.type = p.type)
 """
+)
 
 
 def _leaves(spark, sf_dir):
+    """Usage of each metric by each phase: over the metric's upsampled usage."""
     curve, p = _curve(spark, sf_dir)
-    return A.attribute(curve, p, V.rules(spark), ["user_id"])
+    return A.attribute(A.upsample(curve, ["user_id"]), p, V.rules(spark), ["user_id"], WIDTH)
 
 
 def _attributed(kind: str):
@@ -418,10 +457,29 @@ _attributed("exact")
 _attributed("variable")
 
 
-@query(_CURVE + _SHARES + ", c2 AS (SELECT metric, user_id, s, e, sum(usage) AS usage, sum(capacity) AS capacity FROM leaves GROUP BY ALL) SELECT metric, '/user[id=' || user_id || ']' AS phase, round(s, 6) AS start_time, round(e, 6) AS end_time, round(usage, 6) AS usage, round(capacity, 6) AS capacity FROM c2")
+@query(_CURVE + _SHARES + "SELECT metric, phase, round(s, 6) AS start_time, round(e, 6) AS end_time, round(usage, 6) AS usage FROM leaves WHERE usage > 1 AND usage <= 0.5 * sampled")
+def attribute_filtered(spark, sf_dir):
+    """Attributed usage under a filter."""
+    return _leaves(spark, sf_dir).filter("usage > 1 AND usage <= 0.5 * sampled").select("metric", "phase", *times(), r6("usage"))
+
+
+@query(
+    _CURVE + _SHARES
+    + """
+, up_of AS (SELECT metric, unnest(['/', '/user[id=' || user_id || ']']) AS parent, s, e, usage, capacity FROM leaves),
+spans AS (SELECT parent, min(s) AS s, max(e) AS e FROM (SELECT unnest(['/', '/user[id=' || user_id || ']']) AS parent, s, e FROM phases) GROUP BY parent),
+zero AS (SELECT DISTINCT metric, parent, spans.s, spans.e FROM (SELECT DISTINCT metric, parent FROM up_of) JOIN spans USING (parent)),
+marks AS (SELECT metric, parent, s AS t FROM up_of UNION SELECT metric, parent, e FROM up_of UNION SELECT metric, parent, s FROM zero UNION SELECT metric, parent, e FROM zero),
+steps AS (SELECT metric, parent, t AS s, lead(t) OVER (PARTITION BY metric, parent ORDER BY t) AS e FROM marks),
+sums AS (SELECT metric, parent, s, e, sum(usage) AS usage, sum(capacity) AS capacity FROM up_of GROUP BY ALL)
+SELECT metric, parent AS phase, round(s, 6) AS start_time, round(e, 6) AS end_time, round(coalesce(usage, 0), 6) AS usage, round(coalesce(capacity, 0), 6) AS capacity FROM steps LEFT JOIN sums USING (metric, parent, s, e) WHERE e IS NOT NULL"""
+)
 def attribute_composite(spark, sf_dir):
-    leaves = _leaves(spark, sf_dir).withColumn("parent", P.parent_of(C("phase")))
-    return A.attribute_composite(leaves, "parent").select("metric", C("parent").alias("phase"), *times(), r6("usage"), r6("capacity"))
+    """All ancestors of the leaves, each over its whole time."""
+    above = lambda df, path: df.withColumn("parent", F.explode(P.ancestors_of(C(path))))
+    spans = above(V.phases(spark, sf_dir), "path").groupBy("parent").agg(F.min("_start_time").alias("_start_time"), F.max("_end_time").alias("_end_time"))
+    out = A.attribute_composite(above(_leaves(spark, sf_dir), "phase"), "parent", spans)
+    return out.select("metric", C("parent").alias("phase"), *times(), r6("usage"), r6("capacity"))
 
 
 @query()
@@ -434,16 +492,12 @@ def nnls_fit(spark, sf_dir):
 # Bottlenecks and issues
 
 _STATUS = """
-, st AS (SELECT l.*, l.e - l.s AS dur, CASE WHEN c.usage >= 0.95 * c.capacity THEN 'GLOBAL' WHEN l.usage >= 0.95 * l.capacity THEN 'LOCAL' ELSE 'NONE' END AS status
-  FROM leaves l JOIN curve c ON c.metric = l.metric AND c.s = l.s AND c.e = l.e)
+, st AS (SELECT *, e - s AS dur, CASE WHEN sampled >= 0.95 * most THEN 'GLOBAL' WHEN usage >= 0.95 * capacity THEN 'LOCAL' ELSE 'NONE' END AS status FROM leaves)
 """
 
 
 def _statuses(spark, sf_dir):
-    curve, p = _curve(spark, sf_dir)
-    leaves = A.attribute(curve, p, V.rules(spark), ["user_id"])
-    whole = curve.select("metric", "_start_time", "_end_time", C("usage").alias("sampled"), C("capacity").alias("most"))
-    return leaves.join(whole, ["metric", "_start_time", "_end_time"]).withColumn("status", B.status(C("usage"), C("capacity"), C("sampled"), C("most")))
+    return _leaves(spark, sf_dir).withColumn("status", B.status(C("usage"), C("capacity"), C("sampled"), C("most")))
 
 
 @query(_CURVE + _SHARES + _STATUS + "SELECT metric, phase, round(s, 6) AS start_time, status FROM st")
@@ -496,9 +550,9 @@ def tagg_after_tjoin(spark, sf_dir):
 
 
 def peak_by_phase_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = I.overlap_join(V.metrics(spark, sf_dir), V.phases(spark, sf_dir), ("m", "p"), [("user_id", "user_id")])
+    met = I.overlap_join(V.metrics(spark, sf_dir), V.phases(spark, sf_dir), ("m", "p"), [("user_id", "user_id")], WIDTH)
     rows = met.select("_start_time", "_end_time", C("m_user_id").alias("user_id"), C("p_type").alias("type"), C("m_utilization").alias("utilization"))
-    return I.temporal_aggregate(rows, ["user_id", "type"], {"peak": F.max("utilization")})
+    return I.temporal_aggregate(rows, ["user_id", "type"], {"peak": F.max("utilization")}, WIDTH)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
