@@ -31,8 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
@@ -61,14 +60,15 @@ def shingle_hashes(text: str | None, size: int) -> list[int]:
 
 def fingerprints(texts: list[str | None], size: int) -> np.ndarray:
     """64-bit fingerprints as unsigned integers."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, size), dtype=">u8")
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(hashes), 1 << 16):
-            ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(hashes)).view(">u8")[0]
-    return out
+    return np.array([majority(np.array(shingle_hashes(t, size), dtype=">u8")) for t in texts], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (big-endian)."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
 def with_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -228,21 +228,26 @@ def simhash_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """tag (unique), doc_id, t1, t2 (the text's hashes), node (the set's hash), n, bands and shingles (distinct) of each row of docs."""
+    """tag (of doc_id and text), doc_id, t1, t2 (the text's hashes), node (the set's hash), n, fp, bands and shingles (distinct) of each row of docs."""
 
     def run(batches):
-        task, count = TaskContext.get().partitionId() << 32, 0
         factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for part in slices(batches, max_bytes=2_000_000):
-            sets = [np.unique(np.array(shingle_hashes(t, size), dtype=np.uint64)) for t in part.column("text").to_pylist()]
+            hashes = [np.array(shingle_hashes(t, size), dtype=np.uint64) for t in part.column("text").to_pylist()]
+            sets = [np.unique(h) for h in hashes]
             bands = [band_keys(s, factors) for s in sets]
             longs = lambda lists: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64)))
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"tag": task + count + np.arange(len(sets)), "doc_id": part.column("doc_id"), "t1": part.column("t1"), "t2": part.column("t2"), "node": nodes, "n": [len(s) for s in sets], "bands": longs(bands), "shingles": longs(sets)})
-            count += len(sets)
+            fp = np.array([majority(h.astype(">u8")) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("tag", "doc_id", "t1", "t2")}, "node": nodes, "n": [len(s) for s in sets], "fp": fp, "bands": longs(bands), "shingles": longs(sets)})
+
+    return tagged(docs).mapInArrow(run, "tag long, doc_id long, t1 long, t2 long, node long, n long, fp long, bands array<long>, shingles array<long>")
 
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the text's hashes, and a tag that rows of one doc_id and text share."""
     hashed = docs.select("doc_id", "text", *(h.alias(n) for n, h in text_hashes().items()))
-    return hashed.mapInArrow(run, "tag long, doc_id long, t1 long, t2 long, node long, n long, bands array<long>, shingles array<long>")
+    return hashed.withColumn("tag", F.xxhash64("doc_id", "t1", "t2"))
 
 
 def text_hashes() -> dict[str, Column]:
@@ -275,45 +280,85 @@ def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return found.filter(is_set).select(*rows.columns)
 
 
-def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """a, b: nodes of rows (see shingle_sets) that share a band and have at least that Jaccard similarity, counted exactly."""
-    firsts = rows.groupBy("node").agg(F.min("tag").alias("tag")).select("tag")
-    banded = cut(rows.select("tag", "node", "n", "bands").join(firsts, "tag", "left_semi").select("tag", "node", "n", F.explode("bands").alias("key")))
-    me = F.struct("node", "tag", "n")
-    met = banded.groupBy("key").agg(F.count("*").alias("members"), F.min(me).alias("first")).filter("members > 1")
-    dealt = banded.join(met, "key").withColumn("deal", F.when(F.col("members") > all_pairs, F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 512))).otherwise(0))
-    before = F.collect_list(me).over(Window.partitionBy("key", "deal").orderBy("node").rowsBetween(1 - all_pairs, -1))
-    some = F.concat(F.slice("before", F.greatest(F.size("before") - 1, F.lit(1)), 2), F.array("first"))
-    others = F.explode(F.when(F.col("members") > all_pairs, some).otherwise(F.col("before")))
-    pairs = dealt.withColumn("before", before).select("node", "tag", "n", others.alias("o")).filter("o.node < node")
-    pairs = pairs.filter(F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
-    pairs = cut(pairs.select(F.col("o.node").alias("a"), F.col("o.tag").alias("a_tag"), F.col("node").alias("b"), F.col("tag").alias("b_tag")).distinct())
-    asked = pairs.select(F.explode(F.array("a_tag", "b_tag")).alias("tag"))
-    sets = cut(marked(rows.select("tag", "shingles"), asked))
+def met_pairs(members: DataFrame, chunk: int, differ: str | None = None) -> DataFrame:
+    """a, a_tag, b, b_tag (a < b): all pairs of the members (key, size, node, tag, n) of each key, with different values of the column differ.
+
+    A key's members are dealt to chunks, and each pair of chunks is a row of its own, so no row holds
+    more than two chunks whatever the key's size.
+    """
+    last = F.ceil(F.col("size") / chunk).cast("int") - 1
+    own = F.pmod(F.xxhash64("node"), last + 1).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    me = F.struct("node", "tag", "n", "own", (F.col(differ) if differ else F.col("node")).alias("kind"))
+    grouped = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_set(me).alias("all"))
+    with_x = grouped.filter(F.size("all") > 1).select("all", "low", "high", F.explode("all").alias("x"))
+    y = F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["kind"] != F.col("x.kind")) & ((F.col("low") == F.col("high")) | (y["own"] != F.col("x.own")))))
+    return with_x.select("x", y.alias("y")).select(F.col("x.node").alias("a"), F.col("x.tag").alias("a_tag"), F.col("x.n").alias("a_n"), F.col("y.node").alias("b"), F.col("y.tag").alias("b_tag"), F.col("y.n").alias("b_n"))
+
+
+def verified(pairs: DataFrame, similarity: float, sets_of) -> DataFrame:
+    """a, b: the pairs (see met_pairs) whose sets have that Jaccard similarity, counted exactly; sets_of(asked tags) gives their sets."""
+    pairs = pairs.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n"))
+    pairs = cut(pairs.select("a", "a_tag", "b", "b_tag").distinct())
+    sets = cut(sets_of(pairs.select(F.explode(F.array("a_tag", "b_tag")).alias("tag"))).dropDuplicates(["tag"]))
     of = lambda tag, name: sets.select(F.col("tag").alias(tag), F.col("shingles").alias(name))
     both = pairs.join(of("a_tag", "x"), "a_tag").join(of("b_tag", "y"), "b_tag")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS, sets_of=None) -> DataFrame:
+    """a, b: nodes of rows (see shingle_sets) with at least that Jaccard similarity, counted exactly, so that all such sets are connected.
+
+    Sets meet under keys: the component of their fingerprints (op10's: Golay keys, three bits), and BANDS
+    bands of MinHash values for what the fingerprints of similar sets lie apart. Up to all_pairs sets
+    under a key are all paired. Under a larger key each set meets the first. Where that leaves
+    sets unconnected, the key is taken apart by each of its sets' bands, and all pairs that are still unconnected
+    meet, in chunks.
+    """
+    sets_of = sets_of or (lambda asked: marked(rows.select("tag", "shingles"), asked))
+    distinct = cut(rows.filter("n > 0").select("tag", "node", "n", "fp", "bands").dropDuplicates(["node"]))
+    roots = connected_components(linked(distinct.select("fp").distinct()))
+    near = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("golay", F.xxhash64(F.lit("golay"), F.coalesce("root", "fp")))
+    keyed = cut(near.select("tag", "node", "n", F.explode(F.concat("bands", F.array("golay"))).alias("key")))
+    met = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "tag", "n")).alias("first")).filter("size > 1")
+    members = cut(keyed.join(met, "key"))
+    large = members.filter(F.col("size") > all_pairs)
+    star = large.filter("node > first.node").select(F.col("first.node").alias("a"), F.col("first.tag").alias("a_tag"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("tag").alias("b_tag"), F.col("n").alias("b_n"))
+    links = verified(met_pairs(members.filter(F.col("size") <= all_pairs), all_pairs).union(star), similarity, sets_of)
+    if large.isEmpty():
+        return links
+    labels = connected_components(links)
+    named = large.select("key", "node", "tag", "n").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    parted = lambda df: df.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key", "size")
+    mixed = cut(named.join(parted(named), "key").drop("size"))
+    if mixed.isEmpty():
+        return links
+    finer = mixed.join(distinct.select("node", "bands"), "node").withColumn("band", F.explode("bands")).filter("band <> key")
+    finer = cut(finer.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node", "tag", "n", "label").distinct())
+    return links.union(verified(met_pairs(finer.join(parted(finer), "key"), 4 * all_pairs, "label"), similarity, sets_of))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of docs; pairs whose sets of shingles have that Jaccard similarity are linked, and groups are what links connect.
 
-    Candidates share one of BANDS bands of ROWS MinHash values: of pairs at 0.8 one in 4,500 shares none.
-    A row is known by its doc_id and its text, so rows that repeat an id with another text, or have
-    none, are judged by their own text. The row of the smallest doc_id stays, null last, and one of its repeats.
+    Of pairs at 0.8 one in 4,500 shares no MinHash band. A row is known by its doc_id and its text, so
+    rows that repeat an id with another text, or have none, are judged by their own text. The row of
+    the smallest doc_id stays, null last, and one of its repeats. Sets are made again where they are
+    compared, and not kept for all rows.
     """
-    rows = cut(shingle_sets(docs, size))
-    roots = connected_components(similar_sets(rows, similarity))
+    rows = cut(shingle_sets(docs, size).drop("shingles"))
+    again = lambda asked: shingle_sets(marked(tagged(docs), asked).select("doc_id", "text"), size).select("tag", "shingles")
+    roots = connected_components(similar_sets(rows, similarity, sets_of=again))
     keyed = rows.select("doc_id", "t1", "t2", "node").join(roots, "node", "left").select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root"))
     keyed = cut(keyed.groupBy("doc_id", "t1", "t2", "root").agg(F.count("*").alias("times")))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
     firsts = keyed.groupBy("root").agg(F.min(key).alias("first"))
-    judged = cut(keyed.join(firsts, "root").select(F.col("doc_id").alias("id"), F.col("t1").alias("h1"), F.col("t2").alias("h2"), "times", (key == F.col("first")).alias("stays")))
+    judged = cut(keyed.join(firsts, "root").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_h1"), F.col("t2").alias("_h2"), "times", (key == F.col("first")).alias("stays")))
     hashes = text_hashes()
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (hashes["t1"] == F.col("h1")) & (hashes["t2"] == F.col("h2"))
-    kept = docs.join(judged.filter("not stays").select("id", "h1", "h2"), same, "left_anti")
-    repeated = judged.filter("stays and times > 1").select("id", "h1", "h2")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (hashes["t1"] == F.col("_h1")) & (hashes["t2"] == F.col("_h2"))
+    kept = docs.join(judged.filter("not stays").select("_id", "_h1", "_h2"), same, "left_anti")
+    repeated = judged.filter("stays and times > 1").select("_id", "_h1", "_h2")
     if repeated.isEmpty():
         return kept
     return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
