@@ -3,7 +3,8 @@
 The network reads chunks of CHUNK bytes in both directions, gives every byte a probability for each
 language, and a text's probabilities are the mean over all its bytes. It is trained here, in numpy,
 by backpropagation through time on a bounded sample of labelled rows (at most `rows_per_language`
-rows of each language, `windows_per_row` windows of each) whose crc32(doc_id) mod 5 is not 0.
+rows of each language, `windows_per_row` windows of each) whose crc32(doc_id) mod 5 is not 0. lang has
+few values; the sample and the weights grow with their number alone.
 Prediction maps over slices of whole texts with the weights in the closure: no shuffle.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, and so is everything if
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import documents
@@ -170,28 +171,30 @@ def pooled(data: np.ndarray, sizes: np.ndarray, weights: list[np.ndarray]) -> np
 
 
 def learn(docs: DataFrame, rows_per_language: int = 400, windows_per_row: int = 6, seed: int = 7) -> tuple[list[str], list[np.ndarray] | None]:
-    """Languages and weights from a bounded sample of labelled rows."""
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())  # a row per language
-    if not counts:
-        return [], None
-    part = F.lit(0.0)
-    for lang, n in counts:
-        part = F.when(F.col("lang") == lang, min(1.0, rows_per_language / n)).otherwise(part)
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1_000_000)) < part * 1_000_000)
+    """Languages and weights from a bounded sample of labelled rows: of each language the rows_per_language of smallest hash.
+
+    A row is drawn by the hash of its doc_id and text, so reruns agree and repeated rows are drawn once.
+    """
+    name = F.xxhash64(F.lit("learn"), "doc_id", "text").alias("name")
+    labelled = docs.select("doc_id", "text", "lang", name).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("name"))
+    drawn = labelled.select("lang", "name").distinct().withColumn("nth", nth).filter(F.col("nth") <= rows_per_language).drop("nth")
+    chosen = labelled.join(F.broadcast(drawn), ["lang", "name"], "left_semi")  # rows_per_language rows a language
 
     def windows(batches):
         for pdf in batches:
             out = []
-            for doc_id, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
+            for name, text, lang in zip(pdf["name"], pdf["text"], pdf["lang"]):
                 data = text.encode()
-                rng = np.random.default_rng([seed, abs(int(doc_id))])
-                for start in rng.integers(0, max(1, len(data) - CHUNK + 1), windows_per_row):
-                    out.append((doc_id, lang, data[start : start + CHUNK]))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "data"])
+                rng = np.random.default_rng([seed, int(name) & (1 << 63) - 1])
+                for nth, start in enumerate(rng.integers(0, max(1, len(data) - CHUNK + 1), windows_per_row)):
+                    out.append((name, lang, nth, data[start : start + CHUNK]))
+            yield pd.DataFrame(out, columns=["name", "lang", "nth", "data"])
 
-    sample = chosen.mapInPandas(windows, "doc_id long, lang string, data binary").limit(2 * rows_per_language * windows_per_row * len(counts)).toPandas()
-    sample = sample.sort_values(["doc_id", "data"], ignore_index=True)
+    sample = chosen.select("name", "text", "lang").mapInPandas(windows, "name long, lang string, nth int, data binary").dropDuplicates(["name", "lang", "nth"]).toPandas()
+    if not len(sample):
+        return [], None
+    sample = sample.sort_values(["lang", "name", "nth"], ignore_index=True)
     names = sorted(sample["lang"].unique())
     sizes = np.array([len(x) for x in sample["data"]])
     grid, _, used = chunks(np.frombuffer(b"".join(sample["data"]), dtype=np.uint8), sizes)
