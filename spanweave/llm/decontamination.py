@@ -12,8 +12,8 @@ half of the triples, is held by its pairs, one of under five by its words. Items
 words are kept only if all their words stand in the passage, one after the other.
 
 The documents are only mapped over. The index is sent to the executors in parts of at most
-MOST_POSTINGS postings each, with one pass over the documents for each part: what is
-broadcast has a bound, whatever the number of items.
+MOST_POSTINGS postings each, made, searched and dropped one after the other, with one pass over the
+documents for each part: what the driver and an executor hold has a bound, whatever the number of items.
 
 Defined cases: a null or empty text contains nothing; null and blank items, and items of
 punctuation alone, are not searched; repeated items are each reported;
@@ -23,6 +23,8 @@ the tables are carried along unread.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,22 +95,32 @@ def _postings(items: DataFrame) -> DataFrame:
 
 
 def halves(text: str) -> tuple[list[str], list[str]]:
-    """Words of the question, up to the first end of a sentence or line, and of the answer."""
+    """Words of the question, up to the first end of a sentence or line, and of the answer.
+
+    An item without an answer, or without a question, is halved; one of a single word has no answer.
+    """
     ends = [i + 1 for i in (text.find(c) for c in "?\n.") if i >= 0]
     at = min(ends, default=len(text))
-    question, answer = normalised(text[:at]), normalised(text[at:])
-    return (question, answer) if len(question) >= 3 and len(answer) >= 3 else (question + answer, [])
+    question, answer = ([w for w in normalised(part) if w] for part in (text[:at], text[at:]))
+    if question and answer:
+        return question, answer
+    words = question + answer
+    return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
 def build_index(items: DataFrame, most_postings: int = MOST_POSTINGS) -> list[Index]:
-    """The index in parts of bounded size. items: item_id, text."""
+    """The index in parts of bounded size, all at once. items: item_id, text."""
+    return list(index_parts(items, most_postings))
+
+
+def index_parts(items: DataFrame, most_postings: int = MOST_POSTINGS) -> Iterator[Index]:
+    """The index in parts of bounded size, made one at a time."""
     count = word_count(F.col("text"))
     with_words = items.select("item_id", "text").filter(count > 0)
     named = cut(with_words.withColumn("item", F.xxhash64("item_id", "text", F.monotonically_increasing_id())).withColumn("n", count))
     total, span = named.agg(F.sum("n"), F.max("n")).first()
     n_parts = -(-(total or 0) // most_postings)
     weights = cut(_postings(named)) if n_parts else None
-    found = []
     for part in range(n_parts):
         mine = F.pmod(F.col("item"), F.lit(n_parts)) == part
         of = named.filter(mine).select("item", "item_id", "text").toPandas().sort_values("item", ignore_index=True)
@@ -119,13 +131,10 @@ def build_index(items: DataFrame, most_postings: int = MOST_POSTINGS) -> list[In
         code, item, weight = code[order], post["at"].to_numpy()[order], post["weight"].to_numpy()[order]
         key = code * (len(of) // BLOCK + 1) + item // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=int)
-        starts = lambda c: np.searchsorted(c, np.arange(len(terms) + 1))
+        starts = lambda c: np.searchsorted(c, np.arange(len(terms) + 1))  # noqa: E731, B023
         most = np.zeros(len(terms))
         np.maximum.at(most, code, weight)
-        found.append(
-            Index(pa.array(terms.tolist(), pa.string()), starts(code), item, weight, starts(code[first]), (item // BLOCK)[first], np.maximum.reduceat(weight, first) if len(first) else weight, most, of["item_id"].tolist(), [halves(t) for t in of["text"]], span)
-        )
-    return found
+        yield Index(pa.array(terms.tolist(), pa.string()), starts(code), item, weight, starts(code[first]), (item // BLOCK)[first], np.maximum.reduceat(weight, first) if len(first) else weight, most, of["item_id"].tolist(), [halves(t) for t in of["text"]], span)
 
 
 def _expand(start: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,11 +216,14 @@ def hits(texts: pa.Array, index: Index, threshold: float, least: float) -> pd.Da
     return out.sort_values(["row", "item", "score", "question_overlap", "answer_overlap"], ascending=[True, True, False, False, False]).drop_duplicates(["row", "item"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: float = 0.5) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap for every test item that a document contains."""
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: float = 0.5, most_postings: int = MOST_POSTINGS) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap for every test item that a document contains.
+
+    Each part of the index is sent, searched and dropped before the next is made.
+    """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in build_index(items):
+    for index in index_parts(items, most_postings):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches, sent=sent):
@@ -220,23 +232,48 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, leas
                 ids = [sent.value.ids[i] for i in got["item"]]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(got["row"].to_numpy(dtype=np.int64))), "item_id": pa.array(ids, pa.int64()), **{c: got[c].to_numpy(dtype=float) for c in got.columns[2:]}})
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(search, schema))
+        out = out.union(cut(docs.select("doc_id", "text").mapInArrow(search, schema)))
+        sent.unpersist()
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: float = 0.5) -> DataFrame:
-    """The rows of docs that contain no test item, with all their columns."""
-    for index in build_index(items):
+def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: float = 0.5, most_postings: int = MOST_POSTINGS) -> DataFrame:
+    """The rows of docs that contain no test item, with all their columns.
+
+    An index of one part filters the rows as they pass. Of several parts each leaves the hashes of the texts
+    that it finds, and rows with such a text go at the end.
+    """
+    parts = index_parts(items, most_postings)
+    index, following = next(parts, None), next(parts, None)
+    if index is None:
+        return docs
+
+    def keep(texts, sent):
+        found = np.ones(len(texts), dtype=bool)
+        found[hits(texts, sent.value, threshold, least)["row"].to_numpy(dtype=np.int64)] = False
+        return found
+
+    if following is None:
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batches):
+            for part in slices(batches, max_bytes=1_000_000):
+                yield part.filter(pa.array(keep(part.column("text"), sent)))
+
+        return docs.mapInArrow(clean, docs.schema)
+    names = [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2")]
+    found = None
+    for index in itertools.chain([index, following], parts):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def clean(batches, sent=sent):
+        def name(batches, sent=sent):
             for part in slices(batches, max_bytes=1_000_000):
-                keep = np.ones(part.num_rows, dtype=bool)
-                keep[hits(part.column("text"), sent.value, threshold, least)["row"].to_numpy(dtype=np.int64)] = False
-                yield part.filter(pa.array(keep))
+                yield part.filter(pa.array(~keep(part.column("text"), sent))).select(["_t1", "_t2"])
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        gone = cut(docs.select("text", *names).mapInArrow(name, "_t1 long, _t2 long").distinct())
+        found = gone if found is None else found.union(gone)
+        sent.unpersist()
+    return docs.join(found, [(n == F.col(c)) for n, c in ((F.xxhash64("text"), "_t1"), (F.xxhash64(F.lit(1), "text"), "_t2"))], "left_anti")
 
 
 def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
