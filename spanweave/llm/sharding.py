@@ -26,12 +26,17 @@ from pyspark.sql import functions as F
 from .shared import cut, documents, power_of_two
 
 N_SHARDS = 40
+#: Equal rows that one task makes.
+COPIES = 50_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """How many of sample draws without replacement are good; any population size."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, sample)) if sample and good else 0
+    """How many of sample draws without replacement are good, by the inverse of the law's sums; any population size.
+
+    Values over twelve standard deviations from the mode are left out: together they are less likely than a double can tell.
+    """
+    if not sample or not good:
+        return 0
     total = good + bad
     low, high = max(0, sample - bad), min(good, sample)
     mode = min(high, max(low, (sample + 1) * (good + 1) // (total + 2)))
@@ -91,11 +96,23 @@ def communication_matrix(blocks: DataFrame, depth: int, n_rows: int, n_shards: i
     return rows.select("block", "steps").mapInPandas(draw, "block long, upto array<long>")
 
 
+def numbered_copies(rows: DataFrame, keys: list[str], chunk: int = COPIES) -> DataFrame:
+    """rows with _copy, which counts equal rows from 0. Equal rows are counted, not brought together, and made again in chunks."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_copies"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / chunk))))
+    first, end = F.col("_chunk") * chunk, F.least((F.col("_chunk") + 1) * chunk, F.col("_copies"))
+    few = lambda df: df.withColumn("_copy", F.explode(F.sequence(first, end - 1))).select(*rows.columns, "_copy")
+    many = chunks.filter(F.col("_copies") > chunk)
+    return few(chunks.filter(F.col("_copies") <= chunk)).union(few(many.repartition(*keys, "_chunk")))
+
+
 def assign_shards(rows: DataFrame, keys: list[str], n_shards: int = N_SHARDS, rows_per_block: int = 50_000, seed: int = 11) -> DataFrame:
-    """Add shard and slot (gapless from 0 in each shard) to rows; keys tell rows apart."""
+    """Add shard and slot (gapless from 0 in each shard) to rows, whose columns are the keys; equal rows are told apart by number."""
     hashed = lambda salt: F.xxhash64(F.lit(f"{seed}:{salt}"), *keys)
     top = lambda col, bits: F.shiftrightunsigned(col, 64 - bits) if bits else F.lit(0).cast("long")
     names = rows.columns
+    rows = numbered_copies(rows, keys)
+    keys = [*keys, "_copy"]
     rows = cut(rows.withColumn("_place", hashed("place")).withColumn("_first", hashed("first")).withColumn("_second", hashed("second")))
     n_rows = rows.count()
     depth, bits = power_of_two(n_rows / rows_per_block), power_of_two(n_rows / n_shards / rows_per_block)
@@ -109,26 +126,25 @@ def assign_shards(rows: DataFrame, keys: list[str], n_shards: int = N_SHARDS, ro
     start = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")
     buckets = buckets.select("shard", "_bucket", start.alias("_start"))
     inside = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_second", *keys)) - 1
-    return sent.withColumn("_inside", inside).join(buckets, ["shard", "_bucket"]).select(*names, "shard", (F.col("_start") + F.col("_inside")).alias("slot"))
+    return sent.withColumn("_inside", inside).join(buckets, ["shard", "_bucket"]).select(*names, "_copy", "shard", (F.col("_start") + F.col("_inside")).alias("slot"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, **options) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, copies: int = COPIES, **options) -> DataFrame:
     """docs with shard and slot, in place of own columns of these names.
 
-    Only ids and hashes take part in the shuffle's steps; texts move once, to their places, as parts
-    of rows that travel as one value. Rows that agree in doc_id, source and text are interchangeable
-    and share out their places.
+    Only hashes take part in the shuffle's steps. Rows that agree in all columns are one row with several
+    places; texts move once, to their places, as parts of rows that travel as one value.
     """
-    print_of = [F.xxhash64("text", "source").alias("_print"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc")]
-    same = Window.partitionBy("doc_id", "_print", "_crc")
-    places = assign_shards(docs.select("doc_id", *print_of), ["doc_id", "_print", "_crc"], n_shards, **options)
-    places = places.withColumn("_nth", F.row_number().over(same.orderBy("shard", "slot")))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("_row")
-    rows = docs.select("doc_id", *print_of, row).withColumn("_nth", F.row_number().over(same.orderBy(F.lit(0))))
-    match = F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
-    for c in ("_print", "_crc", "_nth"):
-        match &= F.col(f"r.{c}") == F.col(f"p.{c}")
-    return rows.alias("r").join(places.alias("p"), match).select("r._row.*", "p.shard", "p.slot")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    row = F.struct(*columns)
+    named = docs.select(F.xxhash64(row).alias("_k1"), F.xxhash64(F.lit(1), row).alias("_k2"), row.alias("_row"))
+    places = assign_shards(named.select("_k1", "_k2"), ["_k1", "_k2"], n_shards, **options)
+    once = named.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
+    chunk = F.floor(F.col("_copy") / copies)
+    usual = once.filter(F.col("_n") <= copies).join(places, ["_k1", "_k2"])
+    often = once.filter(F.col("_n") > copies).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / copies))))
+    often = often.repartition("_k1", "_k2", "_chunk").join(places.withColumn("_chunk", chunk), ["_k1", "_k2", "_chunk"])
+    return usual.select("_row.*", "shard", "slot").union(often.select("_row.*", "shard", "slot"))
 
 
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
