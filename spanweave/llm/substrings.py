@@ -1,4 +1,4 @@
-"""Exact substring dedup over whole texts: earlier matches found in suffix order.
+"""Exact substring dedup over whole texts by longest-previous-factor arrays.
 
 A byte goes if a string of `length` bytes around it starts anywhere else too (or, with keep_first,
 started earlier). Texts that are equal as a whole are one class with one member in the search.
@@ -6,22 +6,23 @@ started earlier). Texts that are equal as a whole are one class with one member
 1. Each window of `length` bytes has an anchor: the 32-byte string in it with the smallest hash.
    Equal windows have equal anchors at equal offsets. They also share the 176 bytes on the anchor's
    right or on its left, whichever the window has; the hash of those 208 bytes names the group in
-   which the window is compared. Consecutive windows with the same anchor form one entry.
-2. Only entries whose group has at least two go on: their texts' snippets (the entry's windows)
-   are brought together by group.
-3. A task sorts the suffixes of its groups' snippets by prefix doubling, from the order of 64-byte
-   blocks (by hash) to that of `length` bytes, dropping suffixes as soon as they are unlike all
-   others. Inside a run of suffixes that agree in `length` bytes the order is that of the texts, so
-   the previous smaller position is the neighbour above: a longest previous factor of at least
-   `length` starts at every suffix but the run's first.
-4. A group of more than MOST_PER_GROUP entries is not sorted in a task. Its windows are cut into
-   pieces by their distance from the anchor: all of an entry's, then 64 windows, then 8, then 1. Spark sorts the pieces
-   by the hash of the bytes that all their windows share, and by that of all their bytes. Equal
-   pieces are settled at once, and a piece alike no other in its shared bytes needs no more work;
-   of the others one of each kind is taken apart further.
-
-The anchors' hashes, not texts, are counted over the corpus; the text moves once (compressed), to
-its entries, and only snippets of repeated groups move after that.
+   which the window is compared. Consecutive windows with the same anchor form one entry, whose
+   snippet is all bytes of its windows.
+2. Entries of equal snippets (128-bit digests) are one kind. All windows of a kind with several members are
+   repeated; a window that is shared by different kinds lies in kinds of one group. Of each kind in a group of
+   several kinds one snippet goes on.
+3. A task sorts the suffixes of its groups' snippets by prefix doubling, from the order of eight-byte words
+   to that of `length` bytes, dropping suffixes as soon as they are unlike all others. Previous and
+   next smaller positions in suffix order, each with the least common prefix on the way, give every suffix its
+   longest previous factor; with the order of positions turned round, its longest next factor. Lengths are
+   told apart up to `length`. A window goes if its factor has `length` bytes.
+4. A group of more than MOST_PER_GROUP kinds is no task's: its snippets are cut by distance from the
+   anchor into pieces of 64 windows (then 8, then 1), and the bytes that all windows of a piece share join the
+   group's name. Pieces are entries, so steps 2 and 3 do the rest; a piece of one window is
+   alike all of its group.
+
+Only digests of entries are counted over the corpus; the text moves once (compressed), to its entries,
+and of the snippets only one of each kind in mixed groups.
 
 Defined cases: a null text has no bytes, like an empty one; texts shorter than `length` keep all
 their bytes; repeated rows are copies of one another, and with keep_first one of them stays;
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, documents
-from .suffixes import equal_runs
+from .suffixes import equal_runs, nearest_smaller
 from .words import slices
 
 LENGTH = 400
@@ -105,37 +106,50 @@ def find_entries(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.n
     return row[first], key.view(np.int64), at[first] - starts[row[first]], np.diff(np.r_[first, len(row)])
 
 
-def repeated_starts(data: np.ndarray, snippet: np.ndarray, owned: np.ndarray, place: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
-    """Owned positions whose `length` bytes also start at another owned position (an earlier one with keep_first).
+def longest_factors(data: np.ndarray, snippet: np.ndarray, owned: np.ndarray, place: np.ndarray, length: int, following: bool) -> np.ndarray:
+    """Owned positions whose longest previous factor (with following: or longest next factor) has `length` bytes.
 
     data: snippets end to end; snippet: the snippet of each byte; owned: whether a window starts at
     the byte; place: order of the texts' positions, different for different owned positions.
     """
     n = len(data)
     rank = np.full(n, -1, dtype=np.int64)
-    live, names, width = np.arange(n), block_hashes(data, (64,))[64], 64
-    steps = [64, 128, length - 256] if length >= 256 else [length - 64]
-    for step in [0, *steps]:
-        if step:
-            live = live[live + step < n]
-            live = live[(rank[live + step] >= 0) & (snippet[live] == snippet[live + step])]
-            key = rank[live] * n + rank[live + step]
-            width += step
-        else:
-            live = live[: n - 63]
-            live = live[snippet[live] == snippet[live + 63]]
-            key = names[live]
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    live = np.arange(max(0, n - 7))
+    live = live[snippet[live] == snippet[live + 7]]
+    key, width = words[live], 8
+    while True:
         if width == length:
             key, live = key[owned[live]], live[owned[live]]
-        order = np.lexsort((place[live], key)) if width == length else np.argsort(key)
-        runs = equal_runs(key[order])
-        alone = np.bincount(runs, minlength=len(runs))[runs] == 1 if len(runs) else runs.astype(bool)
-        if width == length and keep_first:
-            alone = runs == np.arange(len(runs))
+        order = np.argsort(key, kind="stable")
+        live, runs = live[order], equal_runs(key[order])
+        alike = np.bincount(runs, minlength=len(runs))[runs] > 1 if len(runs) else runs.astype(bool)
+        live, runs = live[alike], runs[alike]
+        if width == length:
+            break
         rank.fill(-1)
-        live = live[order[~alone]]
-        rank[live] = runs[~alone]
-    return live
+        rank[live] = runs
+        step = min(width, length - width)
+        live = np.sort(live[live + step < n])
+        live = live[(rank[live + step] >= 0) & (snippet[live] == snippet[live + step])]
+        key, width = rank[live] * n + rank[live + step], width + step
+    lcp = np.zeros(len(live) + 1, dtype=np.int64)
+    lcp[1:-1] = np.where(runs[1:] == runs[:-1], length, 0)
+    factor = longest_previous(place[live], lcp)
+    if following:
+        factor = np.maximum(factor, longest_previous(-place[live], lcp))
+    return live[factor >= length]
+
+
+def longest_previous(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor at each suffix: the better of the nearest smaller positions above and below it.
+
+    place: positions in suffix order; lcp[i]: common prefix of suffixes i - 1 and i, zero at both ends.
+    """
+    above = nearest_smaller(place, lcp[:-1])
+    below = nearest_smaller(place[::-1], lcp[:0:-1])[::-1]
+    return np.maximum(above, below)
 
 
 def _intervals(tag: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -160,7 +174,7 @@ def _sorted_groups(batches, length: int, keep_first: bool, most_bytes: int = 1_0
         inside = np.arange(len(data)) - begin[snippet]
         texts = np.unique(np.array(list(zip(pdf["doc_order"], tag)), dtype=[("d", "i8"), ("t", "i8")]), return_inverse=True)[1]
         place = texts[snippet] * (int((lo + sizes).max()) + 1) + lo[snippet] + inside
-        at = repeated_starts(data, snippet, inside < n_own[snippet], place, length, keep_first)
+        at = longest_factors(data, snippet, inside < n_own[snippet], place, length, not keep_first)
         return _intervals(tag[snippet[at]], lo[snippet[at]] + inside[at])
 
     held = None
@@ -191,6 +205,33 @@ def _removed(intervals, size: int, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _digests(strings: list[bytes]) -> np.ndarray:
+    """128-bit digests as two columns of longs."""
+    return np.array([xxhash.xxh3_128_digest(t) for t in strings], dtype="V16").view(np.int64).reshape(-1, 2)
+
+
+#: An entry: its group's name, its snippet's digest, its first window and number of windows.
+_ENTRY = "key: long, f1: long, f2: long, lo: int, n: int"
+
+
+def _entry_lists(per_text: np.ndarray, key: np.ndarray, digests: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Lists of entries, per_text[i] of them for text i."""
+    columns = [pa.array(key.astype(np.int64)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(lo, pa.int32()), pa.array(n, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), pa.StructArray.from_arrays(columns, ["key", "f1", "f2", "lo", "n"]))
+
+
+#: Windows in a piece of each level.
+PIECES = (64, 8, 1)
+
+
+def _pieces(data: bytes, anchor: int, lo: int, n: int, width: int, length: int):
+    """lo and n of the windows from lo on, cut by their distance from the anchor into pieces of `width`, and a name for the distance and for the bytes that all windows of such a piece share."""
+    for piece in range((anchor - lo - n + 1) // width, (anchor - lo) // width + 1):
+        first, last = anchor - piece * width - width + 1, anchor - piece * width
+        begin, end = max(first, lo), min(last, lo + n - 1)
+        yield begin, end - begin + 1, b"%d:" % piece + data[last : first + length]
+
+
 def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, most_per_group: int = MOST_PER_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to in bytes; whole copies: all) for each row of docs.
 
@@ -198,7 +239,6 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     """
     if length < 2 * (SIDE + GRAM) - GRAM:
         raise ValueError("windows have to hold one of the anchor's sides")
-    entry = "array<struct<key: long, lo: int, n: int>>"
     base = "doc_id long, tag long, c1 long, c2 long, n_bytes long, whole_sha256 string"
 
     def scan(batches):
@@ -207,53 +247,76 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
             texts = [t.encode() for t in part.column("text").fill_null("").to_pylist()]
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             row, key, lo, n = find_entries(np.frombuffer(b"".join(texts), dtype=np.uint8), sizes, length)
-            digests = np.array([xxhash.xxh3_128_digest(t) for t in texts], dtype="V16").view(np.int64).reshape(-1, 2)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(key), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], ["key", "lo", "n"])
-            )
+            full = _digests([texts[r][a : a + m + length - 1] for r, a, m in zip(row.tolist(), lo.tolist(), n.tolist())])
+            digests = _digests(texts)
             tags = task + count + np.arange(len(texts))
             count += len(texts)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "tag": tags, "c1": digests[:, 0].copy(), "c2": digests[:, 1].copy(), "n_bytes": sizes, "whole_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "entries": lists})
-
-    rows = cut(docs.select("doc_id", "text").mapInArrow(scan, f"{base}, entries {entry}"))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column("doc_id"), "tag": tags, "c1": digests[:, 0].copy(), "c2": digests[:, 1].copy(), "n_bytes": sizes, "whole_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
+                    "entries": _entry_lists(np.bincount(row, minlength=len(texts)), key, full, lo, n),
+                }
+            )
+
+    rows = cut(docs.select("doc_id", "text").mapInArrow(scan, f"{base}, entries array<struct<{_ENTRY}>>"))
     order = F.coalesce("doc_id", F.lit(-(2**63)))
     classes = cut(rows.groupBy("c1", "c2").agg(F.min(F.struct(order.alias("doc_order"), "tag")).alias("first"), F.count("*").alias("copies")).select("first.*", "copies"))
     found = rows.select("tag", "entries").join(classes.select("tag", "doc_order"), "tag").select("tag", "doc_order", F.inline("entries"))
-    sizes = cut(found.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    wanted = found.join(sizes, "key").withColumn("large", F.col("size") > most_per_group)
-    wanted = wanted.groupBy("tag", "doc_order").agg(F.collect_list(F.struct("key", "lo", "n", "large")).alias("wanted"))
+    settled, mixed = _judged(found, keep_first)
     slim = rows.select(F.col("doc_id").alias("id"), "tag", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-    named = wanted.join(slim, "tag")
+    named = settled.select("tag").union(mixed.select("tag")).distinct().join(slim, "tag").join(classes.select("tag", "doc_order"), "tag")
 
     def shrink(batches):
         for part in slices(batches, max_bytes=4_000_000):
             texts = [t.encode() for t in part.column("text").fill_null("").to_pylist()]
-            digests = np.array([xxhash.xxh3_128_digest(t) for t in texts], dtype="V16").view(np.int64).reshape(-1, 2)
-            packer = zstandard.ZstdCompressor(level=1)
+            digests, packer = _digests(texts), zstandard.ZstdCompressor(level=1)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "c1": digests[:, 0].copy(), "c2": digests[:, 1].copy(), "packed": [packer.compress(t) for t in texts]})
 
     # Rows that share doc_id and text stand for one another; each brings the same snippets.
     packed = docs.select("doc_id", "text").mapInArrow(shrink, "doc_id long, c1 long, c2 long, packed binary")
     match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))
-    located = cut(packed.join(named, match).select("tag", "doc_order", "packed", "wanted"))
+    located = cut(packed.join(named, match).select("tag", "doc_order", "packed"))
 
     def snip(batches):
+        schema = pa.schema([("key", "int64"), ("tag", "int64"), ("doc_order", "int64"), ("lo", "int32"), ("n", "int32"), ("snippet", "binary")])
         for part in slices(batches, "packed", max_bytes=500_000):
             out = []
             for tag, doc_order, packed, wanted in zip(*(part.column(c).to_pylist() for c in ("tag", "doc_order", "packed", "wanted"))):
                 data = zstandard.decompress(packed)
-                out += [(w["key"], tag, doc_order, w["lo"], w["n"], data[w["lo"] : w["lo"] + w["n"] + length - 1]) for w in wanted if not w["large"]]
-            yield pd.DataFrame(out, columns=["key", "tag", "doc_order", "lo", "n", "snippet"])
-
-    def snip_arrow(batches):
-        for pdf in snip(batches):
-            yield pa.RecordBatch.from_pandas(pdf, schema=pa.schema([("key", "int64"), ("tag", "int64"), ("doc_order", "int64"), ("lo", "int32"), ("n", "int32"), ("snippet", "binary")]), preserve_index=False)
-
-    snippets = located.mapInArrow(snip_arrow, "key long, tag long, doc_order long, lo int, n int, snippet binary")
-    starts = snippets.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: _sorted_groups(b, length, keep_first), "tag long, lo int, hi int")
-    if not sizes.filter(F.col("size") > most_per_group).isEmpty():
-        starts = starts.union(_large_groups(located, length, keep_first))
-    spans = starts.groupBy("tag").agg(F.collect_list(F.struct("lo", "hi")).alias("intervals"))
+                out += [(w["key"], tag, doc_order, w["lo"], w["n"], data[w["lo"] : w["lo"] + w["n"] + length - 1]) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+
+    def cut_up(width):
+        def run(batches):
+            for part in slices(batches, "packed", max_bytes=500_000):
+                out, names, counts = [], [], []
+                for packed, wanted in zip(part.column("packed").to_pylist(), part.column("wanted").to_pylist()):
+                    data, before = zstandard.decompress(packed), len(out)
+                    rank = _mix(block_hashes(np.frombuffer(data, dtype=np.uint8), (GRAM,))[GRAM]) >> np.uint64(26)
+                    for w in wanted:
+                        anchor = w["lo"] + int(np.argmin(rank[w["lo"] : w["lo"] + length - GRAM + 1]))
+                        for lo, n, shared in _pieces(data, anchor, w["lo"], w["n"], width, length):
+                            out.append((lo, n, data[lo : lo + n + length - 1]))
+                            names.append(xxhash.xxh3_64_intdigest(shared, w["key"] & (1 << 64) - 1))
+                    counts.append(len(out) - before)
+                lo, n = (np.array([x[k] for x in out], dtype=np.int32) for k in (0, 1))
+                lists = _entry_lists(np.array(counts, dtype=np.int64), np.array(names, dtype=np.uint64).view(np.int64), _digests([x[2] for x in out]), lo, n)
+                yield pa.RecordBatch.from_pydict({"tag": part.column("tag"), "doc_order": part.column("doc_order"), "entries": lists})
+
+        return run
+
+    starts, wanted = settled, lambda df: located.join(df.groupBy("tag").agg(F.collect_list(F.struct("key", "lo", "n")).alias("wanted")), "tag")
+    for width in (*PIECES, None):
+        snippets = wanted(mixed.filter(F.col("kinds") <= most_per_group)).mapInArrow(snip, "key long, tag long, doc_order long, lo int, n int, snippet binary")
+        groups = snippets.repartition("key").sortWithinPartitions("key")
+        starts = starts.union(groups.mapInPandas(lambda b: _sorted_groups(b, length, keep_first), "tag long, lo int, hi int"))
+        hot = mixed.filter(F.col("kinds") > most_per_group)
+        if hot.isEmpty():
+            break
+        pieces = wanted(hot).mapInArrow(cut_up(width), f"tag long, doc_order long, entries array<struct<{_ENTRY}>>")
+        settled, mixed = _judged(cut(pieces.select("tag", "doc_order", F.inline("entries")).distinct()), keep_first)
+        starts = starts.union(settled)
+    spans = starts.groupBy("tag").agg(F.collect_set(F.struct("lo", "hi")).alias("intervals"))
 
     def remove(batches):
         for part in slices(batches, "packed", max_bytes=1_000_000):
@@ -284,79 +347,18 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     )
 
 
-#: Windows in a piece of each level, and the Spark type of a level's pieces inside those above.
-PIECES = (LENGTH, 64, 8, 1)
-_PIECE = "piece: int, shared: long, full: long, lo: int, n: int"
-
-
-def _pieces(anchor: int, lo: int, n: int, h: dict[int, np.ndarray], length: int, level: int = 0) -> list[dict]:
-    """The windows that start at lo and after, cut into pieces by distance from the anchor."""
-    width, found = (length if level == 0 else PIECES[level]), []
-    for piece in range((anchor - lo - n + 1) // width, (anchor - lo) // width + 1):
-        first, last = anchor - piece * width - width + 1, anchor - piece * width
-        begin, end = max(first, lo), min(last, lo + n - 1)
-        row = {"piece": piece, "shared": _hash_of(h, last, first + length), "full": _hash_of(h, begin, end + length) ^ (end - begin) ^ (last - end) << 8, "lo": begin, "n": end - begin + 1}
-        if level + 1 < len(PIECES):
-            row["parts"] = _pieces(anchor, begin, end - begin + 1, h, length, level + 1)
-        found.append(row)
-    return found
-
-
-def _hash_of(h: dict[int, np.ndarray], begin: int, end: int) -> int:
-    """Hash of the bytes from begin to end; of less than 128 bytes only their number."""
-    value = end - begin
-    if value < 128:
-        return value
-    for at in (*range(begin, end - 127, 128), end - 128):
-        value = ((value ^ int(h[at])) * 0x9E3779B97F4A7C15 + 0x632BE5AB) & 0xFFFFFFFFFFFFFFFF
-        value ^= value >> 31
-    return value - (1 << 64) if value >> 63 else value
-
-
-def _large_groups(located: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """tag, lo, hi for the windows of groups too large for a task: Spark sorts pieces of them."""
-    kind = _PIECE
-    for _ in PIECES[1:]:
-        kind = f"{_PIECE}, parts: array<struct<{kind}>>"
-    schema = f"key long, tag long, doc_order long, {kind.replace(':', '', 5).replace('parts:', 'parts', 1)}"
-    piece = [("piece", pa.int32()), ("shared", pa.int64()), ("full", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
-    fields = piece
-    for _ in PIECES[1:]:
-        fields = [*piece, ("parts", pa.list_(pa.struct(fields)))]
-    types = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("doc_order", pa.int64()), *fields])
-
-    def cut_up(batches):
-        for part in slices(batches, "packed", max_bytes=200_000):
-            out = []
-            for tag, doc_order, packed, wanted in zip(*(part.column(c).to_pylist() for c in ("tag", "doc_order", "packed", "wanted"))):
-                large = [w for w in wanted if w["large"]]
-                if not large:
-                    continue
-                h = block_hashes(np.frombuffer(zstandard.decompress(packed), dtype=np.uint8), (32, 128))
-                rank = _mix(h[32]) >> np.uint64(26)
-                for w in large:
-                    anchor = w["lo"] + int(np.argmin(rank[w["lo"] : w["lo"] + length - GRAM + 1]))
-                    out += [{"key": w["key"], "tag": tag, "doc_order": doc_order, **p} for p in _pieces(anchor, w["lo"], w["n"], h[128], length)]
-            yield pa.RecordBatch.from_pylist(out, schema=types)
-
-    rows = located.mapInArrow(cut_up, schema).dropDuplicates(["key", "tag", "lo"])
-    found = None
-    for level in range(len(PIECES)):
-        rows = cut(rows)
-        name = ["key", "piece", "shared", "full"]
-        kinds = cut(rows.groupBy(*name).agg(F.count("*").alias("members"), F.min(F.struct("doc_order", "tag", "lo")).alias("first")))
-        again = rows.join(kinds.filter("members > 1"), name)
-        if keep_first:
-            again = again.filter(F.struct("doc_order", "tag", "lo") != F.col("first"))
-        settled = again.select("tag", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-        found = settled if found is None else found.union(settled)
-        if level + 1 < len(PIECES):
-            mixed = kinds.groupBy("key", "piece", "shared").agg(F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
-            first = kinds.select(*name, "first.doc_order", "first.tag", "first.lo").join(mixed, ["key", "piece", "shared"])
-            opened = rows.join(first, [*name, "doc_order", "tag", "lo"]).select("key", "tag", "doc_order", F.explode("parts").alias("part"))
-            rows = opened.select("key", "tag", "doc_order", "part.*")
-    return found
+def _judged(entries: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """Intervals (tag, lo, hi) that are repeated with all their windows, and one entry of each kind in groups of several kinds, with its group's number of kinds."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    entries = cut(entries.join(sizes, "key"))
+    kinds = cut(entries.groupBy("key", "f1", "f2").agg(F.count("*").alias("members"), F.min(F.struct("doc_order", "tag", "lo", "n")).alias("first")))
+    again = entries.join(kinds.filter("members > 1").select("key", "f1", "f2", "first"), ["key", "f1", "f2"])
+    if keep_first:
+        again = again.filter(F.struct("doc_order", "tag", "lo", "n") != F.col("first"))
+    groups = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = cut(kinds.join(groups, "key").select("key", "first.tag", "first.doc_order", "first.lo", "first.n", "kinds"))
+    return again.select("tag", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")), mixed
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir)).drop("spans")
+    return substring_dedup(documents(spark, sf_dir))

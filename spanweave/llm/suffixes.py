@@ -71,6 +71,22 @@ def neighbour_lcp(order: np.ndarray, levels: list[np.ndarray], ends: np.ndarray,
     return lcp
 
 
+def nearest_smaller(values: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each i the least of lcp[j + 1 : i + 1] for the nearest j < i with values[j] < values[i]; 0 where there is none.
+
+    All entries between i and where it points are larger than values[i], so it may go on to where that one points.
+    """
+    to, low = np.arange(len(values)) - 1, lcp.copy()
+    while True:
+        up = np.flatnonzero((to >= 0) & (low > 0))
+        up = up[values[to[up]] >= values[up]]
+        if not len(up):
+            return np.where(to >= 0, low, 0)
+        via = to[up]
+        low[up] = np.minimum(low[up], low[via])
+        to[up] = to[via]
+
+
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n positions some span starts[i] : starts[i] + lengths[i] covers."""
     change = np.zeros(n + 1, dtype=np.int64)

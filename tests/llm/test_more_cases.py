@@ -4,7 +4,7 @@ import collections
 
 import numpy as np
 
-from spanweave.llm import decontamination, language, sharding
+from spanweave.llm import decontamination, language, sharding, substrings, suffixes
 
 from .cases import SCHEMA, table
 from .test_short_items import FILLER
@@ -45,3 +45,15 @@ def test_equal_rows_share_out_places(spark):
     numbered = sharding.numbered_copies(docs.select("doc_id", "text"), ["doc_id", "text"], 64).toPandas()
     assert sorted(numbered[numbered["text"] == "same"]["_copy"]) == list(range(700)) and len(numbered) == 1000
     assert sharding.shard_documents(table(spark)).count() == table(spark).count()
+
+
+def test_longest_previous_factors_by_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 40, 150):
+        for _ in range(20):
+            s, ends = rng.integers(0, 3, n), np.full(n, n)
+            order, levels = suffixes.suffix_array(s, ends)
+            got = np.zeros(n, dtype=int)
+            got[order] = substrings.longest_previous(order.astype(np.int64), suffixes.neighbour_lcp(order, levels, ends))
+            common = lambda i, j: next((k for k in range(n - i) if s[i + k] != s[j + k]), n - i)  # noqa: E731, B023
+            assert got.tolist() == [max([0] + [common(i, j) for j in range(i)]) for i in range(n)]
