@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import cut, documents
+from .shared import cut, documents, marked
 from .words import slices
 
 #: The generator polynomial of the binary Golay code and the segments (first bit, bits).
@@ -268,18 +268,6 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return keys
 
 
-def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows whose tags are asked for, and few others, found by a bitmap of fixed size (1 MB) and without a shuffle of rows."""
-    bit = F.pmod(F.xxhash64("tag"), F.lit(1 << 23))
-    part, word = F.shiftright(bit, 10), F.shiftright(bit, 6) % 16
-    bits = asked.select(part.alias("part"), word.alias("word"), (bit % 64).alias("bit"))
-    words = bits.groupBy("part", "word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
-    marks = words.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("marks"))
-    found = rows.withColumn("part", part).join(F.broadcast(marks), "part")
-    is_set = F.expr("shiftrightunsigned(marks[shiftright(pmod(xxhash64(tag), 8388608L), 6) % 16], cast(pmod(xxhash64(tag), 64L) as int)) & 1L = 1L")
-    return found.filter(is_set).select(*rows.columns)
-
-
 def met_pairs(members: DataFrame, chunk: int, differ: str | None = None) -> DataFrame:
     """a, a_tag, b, b_tag (a < b): all pairs of the members (key, size, node, tag, n) of each key, with different values of the column differ.
 

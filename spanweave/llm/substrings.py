@@ -349,7 +349,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
 
 def _judged(entries: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """Intervals (tag, lo, hi) that are repeated with all their windows, and one entry of each kind in groups of several kinds, with its group's number of kinds."""
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    sizes = cut(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"))
     entries = cut(entries.join(sizes, "key"))
     kinds = cut(entries.groupBy("key", "f1", "f2").agg(F.count("*").alias("members"), F.min(F.struct("doc_order", "tag", "lo", "n")).alias("first")))
     again = entries.join(kinds.filter("members > 1").select("key", "f1", "f2", "first"), ["key", "f1", "f2"])
