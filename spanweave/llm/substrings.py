@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, documents
+from .shared import cut, documents, stored
 from .suffixes import equal_runs, nearest_smaller
 from .words import slices
 
@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
                 }
             )
 
-    rows = cut(docs.select("doc_id", "text").mapInArrow(scan, f"{base}, entries array<struct<{_ENTRY}>>"))
+    rows = stored(docs.select("doc_id", "text").mapInArrow(scan, f"{base}, entries array<struct<{_ENTRY}>>"))
     order = F.coalesce("doc_id", F.lit(-(2**63)))
     classes = cut(rows.groupBy("c1", "c2").agg(F.min(F.struct(order.alias("doc_order"), "tag")).alias("first"), F.count("*").alias("copies")).select("first.*", "copies"))
     found = rows.select("tag", "entries").join(classes.select("tag", "doc_order"), "tag").select("tag", "doc_order", F.inline("entries"))
@@ -350,7 +350,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
 def _judged(entries: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """Intervals (tag, lo, hi) that are repeated with all their windows, and one entry of each kind in groups of several kinds, with its group's number of kinds."""
     sizes = cut(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"))
-    entries = cut(entries.join(sizes, "key"))
+    entries = stored(entries.join(sizes, "key"))
     kinds = cut(entries.groupBy("key", "f1", "f2").agg(F.count("*").alias("members"), F.min(F.struct("doc_order", "tag", "lo", "n")).alias("first")))
     again = entries.join(kinds.filter("members > 1").select("key", "f1", "f2", "first"), ["key", "f1", "f2"])
     if keep_first:
