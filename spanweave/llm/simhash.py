@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import cut, documents, marked
+from .shared import cut, documents, marked, stored
 from .words import slices
 
 #: The generator polynomial of the binary Golay code and the segments (first bit, bits).
@@ -288,7 +288,7 @@ def verified(pairs: DataFrame, similarity: float, sets_of) -> DataFrame:
     """a, b: the pairs (see met_pairs) whose sets have that Jaccard similarity, counted exactly; sets_of(asked tags) gives their sets."""
     pairs = pairs.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n"))
     pairs = cut(pairs.select("a", "a_tag", "b", "b_tag").distinct())
-    sets = cut(sets_of(pairs.select(F.explode(F.array("a_tag", "b_tag")).alias("tag"))).dropDuplicates(["tag"]))
+    sets = stored(sets_of(pairs.select(F.explode(F.array("a_tag", "b_tag")).alias("tag"))).dropDuplicates(["tag"]))
     of = lambda tag, name: sets.select(F.col("tag").alias(tag), F.col("shingles").alias(name))
     both = pairs.join(of("a_tag", "x"), "a_tag").join(of("b_tag", "y"), "b_tag")
     common = F.size(F.array_intersect("x", "y"))
@@ -335,7 +335,7 @@ def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     the smallest doc_id stays, null last, and one of its repeats. Sets are made again where they are
     compared, and not kept for all rows.
     """
-    rows = cut(shingle_sets(docs, size).drop("shingles"))
+    rows = stored(shingle_sets(docs, size).drop("shingles"))
     again = lambda asked: shingle_sets(marked(tagged(docs), asked).select("doc_id", "text"), size).select("tag", "shingles")
     roots = connected_components(similar_sets(rows, similarity, sets_of=again))
     keyed = rows.select("doc_id", "t1", "t2", "node").join(roots, "node", "left").select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root"))
