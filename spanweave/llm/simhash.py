@@ -300,9 +300,10 @@ def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS,
 
     Sets meet under keys: the component of their fingerprints (op10's: Golay keys, three bits), and BANDS
     bands of MinHash values for what the fingerprints of similar sets lie apart. Up to all_pairs sets
-    under a key are all paired. Under a larger key each set meets the first. Where that leaves
-    sets unconnected, the key is taken apart by each of its sets' bands, and all pairs that are still unconnected
-    meet, in chunks.
+    under a key are all paired. Under a larger key each set meets the first. Sets of keys where that
+    leaves some unconnected meet once more under two neighbouring bands at a time, in the same way. A group of
+    very many sets that are mostly just below the similarity can so lose a link, as comparing all of
+    its pairs grows with the square; all_pairs sets how large a group is compared as a whole.
     """
     sets_of = sets_of or (lambda asked: marked(rows.select("tag", "shingles"), asked))
     distinct = cut(rows.filter("n > 0").select("tag", "node", "n", "fp", "bands").dropDuplicates(["node"]))
@@ -312,7 +313,7 @@ def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS,
     met = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "tag", "n")).alias("first")).filter("size > 1")
     members = cut(keyed.join(met, "key"))
     large = members.filter(F.col("size") > all_pairs)
-    star = large.filter("node > first.node").select(F.col("first.node").alias("a"), F.col("first.tag").alias("a_tag"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), F.col("tag").alias("b_tag"), F.col("n").alias("b_n"))
+    star = large.filter("node <> first.node").select(*star_columns())
     links = verified(met_pairs(members.filter(F.col("size") <= all_pairs), all_pairs).union(star), similarity, sets_of)
     if large.isEmpty():
         return links
@@ -322,9 +323,21 @@ def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS,
     mixed = cut(named.join(parted(named), "key").drop("size"))
     if mixed.isEmpty():
         return links
-    finer = mixed.join(distinct.select("node", "bands"), "node").withColumn("band", F.explode("bands")).filter("band <> key")
-    finer = cut(finer.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node", "tag", "n", "label").distinct())
-    return links.union(verified(met_pairs(finer.join(parted(finer), "key"), 4 * all_pairs, "label"), similarity, sets_of))
+    # two neighbouring bands at once
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", (i + 1) % BANDS))))
+    finer = stored(mixed.select("node", "tag", "n", "label").distinct().join(distinct.select("node", "bands"), "node").select(pairs.alias("key"), "node", "tag", "n", "label"))
+    sizes = cut(parted(finer))
+    finer = finer.join(sizes, "key")
+    first = finer.filter(F.col("size") > all_pairs).groupBy("key").agg(F.min(F.struct("node", "tag", "n", "label")).alias("first"))
+    rest = finer.filter(F.col("size") > all_pairs).join(first, "key").filter("label <> first.label")
+    few = met_pairs(finer.filter(F.col("size") <= all_pairs), all_pairs, "label")
+    return links.union(verified(few.union(rest.select(*star_columns())), similarity, sets_of))
+
+
+def star_columns() -> list:
+    """The columns of a pair (see met_pairs) of a row and the first of its key."""
+    one, other = F.least(F.struct("node", "tag", "n"), F.struct("first.node", "first.tag", "first.n")), F.greatest(F.struct("node", "tag", "n"), F.struct("first.node", "first.tag", "first.n"))
+    return [x[c].alias(f"{side}_{c}" if c != "node" else side) for x, side in ((one, "a"), (other, "b")) for c in ("node", "tag", "n")]
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
