@@ -198,19 +198,29 @@ def decode(coded: list[bytes], steps: int = BLOCK) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, coded: bytes) -> bytes:
-    """A block as it is stored: magic, number of ids, bytes coded, checksum of the ids, the coded words."""
-    return HEAD.pack(MAGIC, len(ids), len(coded), zlib.crc32(ids.astype("<u2").tobytes())) + coded
+    """A block as it is stored: magic, number of ids, checksum of the ids, checksum of all that is stored beside it, the coded words."""
+    body = HEAD.pack(MAGIC, len(ids), zlib.crc32(ids.astype("<u2").tobytes()), 0) + coded
+    return body[: HEAD.size - 4] + struct.pack("<I", zlib.crc32(body)) + coded
+
+
+def _opened(block: bytes) -> tuple[int, int, bytes]:
+    """Number of ids, their checksum and the coded words of a stored block that is whole."""
+    if len(block) < HEAD.size:
+        raise ValueError("a block of token ids is cut short")
+    magic, n, check, stored = HEAD.unpack_from(block)
+    if magic != MAGIC or n > BLOCK:
+        raise ValueError("not a block of token ids")
+    if zlib.crc32(block[: HEAD.size - 4] + bytes(4) + block[HEAD.size :]) != stored:
+        raise ValueError("a block's checksum doesn't match its bytes")
+    return n, check, block[HEAD.size :]
 
 
 def unpack(blocks: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
-    """The ids of stored blocks; a block that doesn't match its checksum raises ValueError."""
+    """The ids of stored blocks. The stored bytes are checked before they are decoded, the ids after; what doesn't match raises ValueError."""
     found = []
     for k in range(0, len(blocks), lanes):
-        part = blocks[k : k + lanes]
-        heads = [HEAD.unpack_from(b) for b in part]
-        if any(h[0] != MAGIC or h[2] != len(b) - HEAD.size for h, b in zip(heads, part)):
-            raise ValueError("not a block of token ids")
-        for (_, n, _, check), ids in zip(heads, decode([b[HEAD.size :] for b in part])):
+        opened = [_opened(b) for b in blocks[k : k + lanes]]
+        for (n, check, _), ids in zip(opened, decode([coded for _, _, coded in opened])):
             ids = np.ascontiguousarray(ids[:n])
             if zlib.crc32(ids.astype("<u2").tobytes()) != check:
                 raise ValueError("a block's checksum doesn't match its ids")

@@ -19,14 +19,18 @@ MODULES = {
 }
 
 
+#: Imported at once, so that what is missing shows here.
+_LOADED = {name: import_module(f"{__package__}.{module}") for name, module in MODULES.items()}
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    return {name: getattr(module, name) for name, module in _LOADED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {}
-    for name, module in MODULES.items():
-        sql = getattr(import_module(f"{__package__}.{module}"), name.split("_")[0].upper() + "_SQL", None)
+    for name, module in _LOADED.items():
+        sql = getattr(module, name.split("_")[0].upper() + "_SQL", None)
         if sql:
             found[name] = sql
     return found

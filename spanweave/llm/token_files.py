@@ -11,7 +11,7 @@ so no ids are moved; the number of ids before a document is its place in its fil
 totals of the files before it.
 
 Defined cases: a null or empty text has only the end id; a null doc_id sorts first; rows that share
-a doc_id are ordered by text; an empty table gives a file without blocks and no rows; other columns are not read.
+a doc_id are ordered by their text's hash, and may lie in several files; an empty table gives a file without blocks and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,8 +98,8 @@ def write_token_files(docs: DataFrame, place: str, path: str | None = None) -> N
     """Tokenize docs (doc_id, text) and write coded files to the folder place."""
     path = path or tokenizer_path()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(max(1, -(-total // FILE_BYTES)), order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = docs.select("doc_id", "text").repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order)
 
     def rows(file, block, first, ids, docs_in):
         """Stored rows for ids, whose documents are (ordinal, doc_id, start, end) by places in the file."""
