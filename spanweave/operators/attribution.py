@@ -41,26 +41,29 @@ def spread(value: np.ndarray, capacity: np.ndarray, sizes: np.ndarray, part: np.
     of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
     out, rest = np.zeros(len(part)), np.asarray(value, dtype=float).copy()
 
-    def passed(rank: np.ndarray, weight: np.ndarray, left: np.ndarray, most, least: float = 0.0) -> None:
-        """Hand rest out in falling order of rank, in proportion to weight, while over least of it is left."""
+    def passed(rank: np.ndarray, weight: np.ndarray, most) -> None:
+        """Hand rest out in falling order of rank, in proportion to weight. What is left of the weights is summed from the end, as differences would lose small ones."""
         order = np.lexsort((-rank, of))
-        for k in range(int(sizes.max()) if len(sizes) else 0):
-            live = np.flatnonzero((sizes > k) & (left > least) & (rest > 0))
-            if not len(live):
-                return
+        steps, left, after = int(sizes.max()) if len(sizes) else 0, np.zeros(len(part)), np.zeros(len(sizes))
+        for k in range(steps - 1, -1, -1):
+            has = np.flatnonzero(sizes > k)
+            i = order[first[has] + k]
+            after[has] += weight[i] * part[i]
+            left[i] = after[has]
+        for k in range(steps):
+            live = np.flatnonzero((sizes > k) & (rest > 0))
             i = order[first[live] + k]
-            more = np.minimum(rest[live] / left[live] * weight[i], most(i))
+            live, i = live[left[i] > 0], i[left[i] > 0]
+            more = np.minimum(rest[live] * (weight[i] / left[i]), most(i))
             out[i] += more
             rest[live] = np.maximum(rest[live] - more * part[i], 0.0)
-            left[live] -= weight[i] * part[i]
 
-    total = lambda x: np.bincount(of, x * part, minlength=len(sizes))
     room = lambda i: capacity[of[i]] - out[i]
-    passed(exact, exact, total(exact), lambda i: np.minimum(exact[i], room(i)))
+    passed(exact, exact, lambda i: np.minimum(exact[i], room(i)))
     with np.errstate(divide="ignore", invalid="ignore"):
         urgency = np.nan_to_num(variable / (capacity[of] - out), nan=-1.0)
-    passed(urgency, variable, total(variable), room)
-    passed(out.copy(), np.ones(len(part)), np.ones(len(sizes)), room, 1e-12)
+    passed(urgency, variable, room)
+    passed(out.copy(), np.ones(len(part)), room)
     return out
 
 
