@@ -55,15 +55,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int64)
+        self.words, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
 
     def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(sizes.sum()))
-        if len(ids) and ids.max() >= 1 << 16:
-            raise ValueError("ids of over 16 bits can't be coded")
-        return ids.astype(np.uint16), sizes
+        return ids.astype(np.uint32), sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
@@ -84,7 +82,7 @@ class WordTokenizer:
         upto = np.cumsum(n)
         flat = all_ids[np.repeat(start[at] - upto + n, n) + np.arange(int(n.sum()))]
         per_text = sums(n, counts)
-        out = np.full(len(flat) + len(counts), END, dtype=np.uint16)
+        out = np.full(len(flat) + len(counts), END, dtype=np.uint32)
         out[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), per_text)] = flat
         return out, per_text + 1
 

@@ -4,9 +4,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from spanweave.llm import codec, registry
+from spanweave.llm import codec, registry, token_files
 
 CONTRACTS = {
     "op1_suffix_repetition": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed:boolean kept:boolean",
@@ -53,3 +54,32 @@ def test_damaged_blocks_raise_value_errors():
     for n in (0, 3, 15, 16, len(block) - 1):
         with pytest.raises(ValueError):
             codec.unpack([block[:n]])
+
+
+def test_coded_ids_are_smaller_than_zlib_on_the_same_blocks():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").combine_chunks().fill_null("")
+    ids, _ = token_files.WordTokenizer(token_files.tokenizer_path())(texts)
+    blocks = codec.coded_blocks(ids)
+    assert np.array_equal(np.concatenate(codec.unpack(blocks)), ids)
+    packed = [zlib.compress(ids[k : k + codec.BLOCK].astype("<u2").tobytes(), 9) for k in range(0, len(ids), codec.BLOCK)]
+    assert sum(map(len, blocks)) < 0.85 * sum(map(len, packed))
+
+
+def test_ids_of_any_width_come_back():
+    rng = np.random.default_rng(8)
+    edges = np.array([0, 1, 7, 8, 9, 15, 16, (1 << 16) - 1, 1 << 16, (1 << 19) + 3, (1 << 31) - 1, 1 << 31, (1 << 32) - 1])
+    for ids in (np.tile(edges, 300), rng.integers(0, 1 << 32, 5000), rng.integers(0, 1 << 18, 2049), np.arange(codec.BLOCK), np.zeros(1)):
+        ids = ids.astype(np.uint32)
+        assert np.array_equal(np.concatenate(codec.unpack(codec.coded_blocks(ids))), ids)
+
+
+def test_order_0_counts_by_brute_force():
+    rng = np.random.default_rng(9)
+    counts, plain, lanes = codec.Counts(3), np.zeros((3, codec.BLOCK), dtype=int), np.arange(3)
+    for slots in rng.integers(0, codec.BLOCK, (500, 3)) // rng.integers(1, 40, (500, 3)):
+        counts.add(slots)
+        plain[lanes, slots] += 1
+        assert counts.before(lanes, slots).tolist() == [plain[i, :s].sum() for i, s in enumerate(slots)]
+        place = rng.integers(0, plain.sum(axis=1))
+        found, begin = counts.find(lanes, place)
+        assert all(plain[i, : found[i]].sum() == begin[i] <= place[i] < begin[i] + plain[i, found[i]] for i in lanes)
