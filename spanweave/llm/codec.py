@@ -321,7 +321,7 @@ def _opened(block: bytes) -> tuple[int, int, bytes]:
     return n, check, block[HEAD.size :]
 
 
-def unpack(blocks: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
+def unpack(blocks: list[bytes], lanes: int = 2048) -> list[np.ndarray]:
     """The ids of stored blocks. The stored bytes are checked before they are decoded, the ids after; what doesn't match raises ValueError."""
     found = []
     for k in range(0, len(blocks), lanes):
@@ -334,7 +334,7 @@ def unpack(blocks: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
     return found
 
 
-def coded_blocks(ids: np.ndarray, lanes: int = 4096) -> list[bytes]:
+def coded_blocks(ids: np.ndarray, lanes: int = 2048) -> list[bytes]:
     """Stored blocks of BLOCK ids each, the last one shorter."""
     n = -(-len(ids) // BLOCK)
     padded = np.zeros(n * BLOCK, dtype=ids.dtype)

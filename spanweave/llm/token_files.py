@@ -34,7 +34,7 @@ from .shared import cut, documents, ensure_checkpoint_dir
 from .words import slices, split_words, sums
 
 END = 1
-LANES = 4096
+LANES = 2048
 FILE_BYTES = 24_000_000
 MOST_WORDS_KEPT = 400_000
 
