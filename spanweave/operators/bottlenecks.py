@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import DURATION
+from .intervals import DURATION, temporal_aggregate
 
 GLOBAL, LOCAL, NONE = "GLOBAL", "LOCAL", "NONE"
 
@@ -27,6 +27,28 @@ def combine(rows: DataFrame, by: list[str], name: str = "status") -> DataFrame:
     return rows.groupBy(*by).agg(F.max(found).alias("any"), F.min(found).alias("all"), (2 * F.count_if(found) >= F.count(F.lit(1))).alias("majority"))
 
 
+def combine_by_type(rows: DataFrame, by: list[str], type_: str, name: str = "status") -> DataFrame:
+    """Predicates in two steps, within each type of the members and then over the types: every type has a bottleneck in any of
+    its members, or some type has one in all of them."""
+    found = F.col(name) != NONE
+    types = rows.groupBy(*by, type_).agg(F.max(found).alias("_any"), F.min(found).alias("_all"))
+    return types.groupBy(*by).agg(F.min("_any").alias("every_type"), F.max("_all").alias("whole_type"))
+
+
+def duration_issues(rows: DataFrame, phase: str, cause: str, bucket: float, name: str = "status") -> DataFrame:
+    """Per phase and cause that is the only one at some time: the phase's time with any bottleneck, what remains of it once the cause is removed, and what that saves.
+
+    Causes may change at different times: they are compared on the slices between the changes of all of a phase's causes. A cause's own rows may not overlap.
+    """
+    hits = rows.filter(F.col(name) != NONE)
+    cells = temporal_aggregate(hits, [phase], {"_n": F.count(F.lit(1)), cause: F.min(cause)}, bucket, merge=False)
+    alone = F.col("_n") == 1
+    sums = cells.groupBy(phase, F.when(alone, F.col(cause)).alias(cause)).agg(F.sum(DURATION).alias("saving"))
+    total = F.sum("saving").over(Window.partitionBy(phase))  # a row per cause
+    found = sums.withColumn("bottlenecked", total).filter(F.col(cause).isNotNull())
+    return found.select(phase, cause, "bottlenecked", (F.col("bottlenecked") - F.col("saving")).alias("remaining"), "saving")
+
+
 def durations(rows: DataFrame, slice_of: list[str], cause: str, by: list[str], name: str = "status") -> DataFrame:
     """Time with a bottleneck of each cause, time in which it is the only cause, and time without.
 

@@ -526,6 +526,31 @@ def bottleneck_durations(spark, sf_dir):
     return out.select("metric", "type", *[F.round(c, 2).alias(c) for c in ("bottlenecked", "uniquely", "free")])
 
 
+@query(
+    _CURVE + _SHARES + _STATUS
+    + """, hits AS (SELECT phase, metric, s, e FROM st WHERE status <> 'NONE'),
+marks AS (SELECT phase, s AS t FROM hits UNION SELECT phase, e FROM hits),
+steps AS (SELECT phase, t AS a, lead(t) OVER (PARTITION BY phase ORDER BY t) AS b FROM marks),
+cells AS (SELECT phase, a, b, count(*) AS n, min(metric) AS metric FROM steps JOIN hits USING (phase) WHERE s <= a AND e >= b GROUP BY phase, a, b),
+active AS (SELECT phase, sum(b - a) AS t FROM cells GROUP BY phase)
+SELECT phase, metric, round(any_value(t), 2) AS bottlenecked, round(any_value(t) - sum(b - a), 2) + 0.0 AS remaining, round(sum(b - a), 2) AS saving FROM cells JOIN active USING (phase) WHERE n = 1 GROUP BY phase, metric"""
+)
+def bottleneck_issues(spark, sf_dir):
+    """What removing each bottleneck would save of each phase's time."""
+    out = B.duration_issues(_statuses(spark, sf_dir), "phase", "metric", WIDTH)
+    return out.select("phase", "metric", F.round("bottlenecked", 2).alias("bottlenecked"), (F.round("remaining", 2) + F.lit(0.0)).alias("remaining"), F.round("saving", 2).alias("saving"))
+
+
+@query(
+    _CURVE + _SHARES + _STATUS
+    + """, kinds AS (SELECT user_id, s, type, bool_or(status <> 'NONE') AS in_some, bool_and(status <> 'NONE') AS whole FROM st GROUP BY user_id, s, type)
+SELECT user_id, round(s, 6) AS start_time, bool_and(in_some) AS every_type, bool_or(whole) AS whole_type FROM kinds GROUP BY user_id, s"""
+)
+def bottleneck_predicates_by_type(spark, sf_dir):
+    out = B.combine_by_type(_statuses(spark, sf_dir), ["user_id", "_start_time"], "type")
+    return out.select("user_id", times()[0], "every_type", "whole_type")
+
+
 @query("SELECT user_id, type, count(*)::DOUBLE AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS longest, round(max(d) - avg(d), 6) AS saving FROM phases GROUP BY user_id, type")
 def imbalance_mean(spark, sf_dir):
     return B.imbalance(V.phases(spark, sf_dir), "user_id", "type").select("user_id", "type", "n", r6("mean"), r6("longest"), r6("saving"))
