@@ -16,6 +16,9 @@ MODULES = {
     "op6_suffix_array_dedup": "substrings",
     "op8_hypergeometric_shards": "sharding",
     "op9_line_suffix_dedup": "lines",
+    "op11_embedding_whitening": "whitening",
+    "op12_merkle_manifest": "merkle",
+    "op13_url_filter": "url_filter",
 }
 
 

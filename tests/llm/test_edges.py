@@ -63,5 +63,5 @@ def test_columns_are_carried(spark):
 
 def test_names(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix", "shard"]
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.MODULES) == list(range(1, 11))
-    assert set(registry.oracle_sql()) == {"op1_suffix_repetition", "op3_source_mixing", "op9_line_suffix_dedup"}
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.MODULES) == list(range(1, 14))
+    assert set(registry.oracle_sql()) == {"op1_suffix_repetition", "op3_source_mixing", "op9_line_suffix_dedup", "op12_merkle_manifest", "op13_url_filter"}
