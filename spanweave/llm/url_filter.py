@@ -115,7 +115,7 @@ def tokens_of(url: Column) -> Column:
 def indexed(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
     """rules with the token that they are kept under: of their tokens the one in the fewest URLs, ties by code point, else the empty one."""
     named = rules.select("rule", "is_host", F.explode("tokens").alias("token")).distinct()
-    counts = url_tokens.join(named.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = url_tokens.groupBy("token").agg(F.count("*").alias("n"))  # before any join: a hot token is one row of each task
     rarest = named.join(counts, "token", "left").groupBy("rule", "is_host").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least"))
     return rules.join(rarest, ["rule", "is_host"], "left").select("rule", "is_host", "action", "regex", "rank", F.coalesce("least.token", F.lit("")).alias("token"))
 
