@@ -21,16 +21,40 @@ def demands(phases: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumns({"exact": F.when(F.col("rule") == "exact", F.col("demand")).otherwise(0.0), "variable": F.when(F.col("rule") == "variable", F.col("demand")).otherwise(0.0)}).drop("rule", "demand")
 
 
-def demand_curve(metrics: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str], bucket: float | None = None) -> DataFrame:
+def meet(metrics: DataFrame, phases: DataFrame, on: list[str], bucket: float | None = None, mapped: str | None = None) -> DataFrame:
+    """overlap_join of metrics (m) and phases (p) that agree in the columns on and, where it is given, in the array column mapped.
+
+    Arrays agree if at each place both values are equal or one is null. The first place is joined on: a value goes under its own
+    name and under the name that nulls of the other side ask for, a null under that name of its own side and of the other, so each
+    pair meets under one name.
+    """
+    if mapped is None:
+        return overlap_join(metrics, phases, ("m", "p"), [(c, c) for c in on], bucket)
+
+    def named(rows: DataFrame, own: str, other: str) -> DataFrame:
+        value = F.get(mapped, F.lit(0))
+        key = lambda kind, v=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if v is None else v).alias("value"))
+        keys = F.when(value.isNotNull(), F.array(key("value", value), key(other))).otherwise(F.array(key(own), key(other)))
+        return rows.withColumn("_name", F.explode(keys)).withColumn("_name", F.concat_ws("=", "_name.kind", "_name.value"))
+
+    # A metric without a value asks for `metric`, which all phases hold; a phase without one asks for `phase`, which metrics with a value hold.
+    left = named(metrics, "metric", "phase").filter(F.get(mapped, F.lit(0)).isNotNull() | (F.col("_name") == "metric"))
+    met = overlap_join(left, named(phases, "phase", "metric"), ("m", "p"), [(c, c) for c in (*on, "_name")], bucket)
+    agree = F.zip_with(f"m_{mapped}", f"p_{mapped}", lambda a, b: a.isNull() | b.isNull() | (a == b))
+    return met.filter(F.forall(agree, lambda x: x)).drop("m_name", "p_name")
+
+
+def demand_curve(metrics: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str], bucket: float | None = None, mapped: str | None = None) -> DataFrame:
     """Per series `metric` and slice of its samples: usage, capacity, summed exact and variable demand, zero where no phase is active.
 
-    The slices end where a sample or a demand ends.
+    The slices end where a sample or a demand ends. mapped: an array column of both sides, as in meet; the curve keeps it.
     """
-    samples = metrics.select(*on, "metric", "capacity", "usage", START, END)
-    met = overlap_join(samples, demands(phases, rules).select(*on, START, END, "exact", "variable"), ("m", "p"), [(c, c) for c in on], bucket)
-    active = met.select(START, END, *[F.col(f"m_{c}").alias(c) for c in (*on, "metric", "capacity", "usage")], F.col("m_start_time").alias("sample"), F.col("p_exact").alias("exact"), F.col("p_variable").alias("variable"))
+    more = [mapped] if mapped else []
+    samples = metrics.select(*on, *more, "metric", "capacity", "usage", START, END)
+    met = meet(samples, demands(phases, rules).select(*on, *more, START, END, "exact", "variable"), on, bucket, mapped)
+    active = met.select(START, END, *[F.col(f"m_{c}").alias(c) for c in (*on, *more, "metric", "capacity", "usage")], F.col("m_start_time").alias("sample"), F.col("p_exact").alias("exact"), F.col("p_variable").alias("variable"))
     idle = samples.withColumns({"sample": F.col(START), "exact": F.lit(0.0), "variable": F.lit(0.0)}).select(*active.columns)
-    return temporal_aggregate(active.union(idle), [*on, "metric", "sample", "capacity", "usage"], {"exact": F.sum("exact"), "variable": F.sum("variable")}, merge=False)
+    return temporal_aggregate(active.union(idle), [*on, *more, "metric", "sample", "capacity", "usage"], {"exact": F.sum("exact"), "variable": F.sum("variable")}, merge=False)
 
 
 def spread(value: np.ndarray, capacity: np.ndarray, sizes: np.ndarray, part: np.ndarray, exact: np.ndarray, variable: np.ndarray) -> np.ndarray:
@@ -96,13 +120,13 @@ def upsample(curve: DataFrame, on: list[str]) -> DataFrame:
     return many.union(one).select(*columns)
 
 
-def attribute(curve: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str], bucket: float | None = None) -> DataFrame:
+def attribute(curve: DataFrame, phases: DataFrame, rules: DataFrame, on: list[str], bucket: float | None = None, mapped: str | None = None) -> DataFrame:
     """usage and capacity of each phase in each slice of curve, proportional to its demand; sampled and most: those of the whole metric.
 
-    Divisions are safe, as a filter on the result may be computed for pairs that do not overlap.
+    Divisions are safe, as a filter on the result may be computed for pairs that do not overlap. mapped: as in meet.
     """
-    wanted = demands(phases, rules).select(*on, "phase", "type", START, END, "exact", "variable")
-    met = overlap_join(curve, wanted, ("m", "p"), [(c, c) for c in on], bucket)
+    wanted = demands(phases, rules).select(*on, *([mapped] if mapped else []), "phase", "type", START, END, "exact", "variable")
+    met = meet(curve, wanted, on, bucket, mapped)
     value, limit, d, v = F.col("m_usage"), F.col("m_capacity"), F.col("p_exact"), F.col("p_variable")
     exact = lambda x: F.least(F.try_divide(x * d, F.col("m_exact")), d)
     variable = lambda x: F.try_divide(F.greatest(x - F.col("m_exact"), F.lit(0.0)) * v, F.col("m_variable"))
@@ -114,7 +138,7 @@ def attribute(curve: DataFrame, phases: DataFrame, rules: DataFrame, on: list[st
     )
 
 
-def attribute_composite(leaves: DataFrame, parent: str, spans: DataFrame | None = None) -> DataFrame:
+def attribute_composite(leaves: DataFrame, parent: str, spans: DataFrame | None = None, bucket: float | None = None) -> DataFrame:
     """Usage and capacity of composite phases: the sums of their leaves', slice by slice. parent names the composite's column.
 
     spans (parent, interval) has the time of each composite; with it, metrics that its leaves use are
@@ -123,20 +147,9 @@ def attribute_composite(leaves: DataFrame, parent: str, spans: DataFrame | None
     rows = leaves.select("metric", parent, START, END, "usage", "capacity")
     if spans is not None:
         zero = rows.select("metric", parent).distinct().join(spans.select(parent, START, END), parent)
-        rows = overlap_join(rows, spans.select(parent, START, END), ("r", "s"), [(parent, parent)]).select(F.col("r_metric").alias("metric"), F.col(f"r_{parent}").alias(parent), START, END, F.col("r_usage").alias("usage"), F.col("r_capacity").alias("capacity"))
+        rows = overlap_join(rows, spans.select(parent, START, END), ("r", "s"), [(parent, parent)], bucket).select(F.col("r_metric").alias("metric"), F.col(f"r_{parent}").alias(parent), START, END, F.col("r_usage").alias("usage"), F.col("r_capacity").alias("capacity"))
         rows = rows.unionByName(zero.withColumns({"usage": F.lit(0.0), "capacity": F.lit(0.0)}))
-    return temporal_aggregate(rows, ["metric", parent], {"usage": F.sum("usage"), "capacity": F.sum("capacity")}, merge=False)
-
-
-def mapped(pairs: DataFrame, left: dict[str, str], right: dict[str, str]) -> DataFrame:
-    """The pairs of phases and metrics that may meet: every mapped name agrees, or one side has no value for it.
-
-    left and right name the columns with a phase's and a metric's value for each name.
-    """
-    for name in left.keys() & right.keys():
-        a, b = F.col(left[name]), F.col(right[name])
-        pairs = pairs.filter(a.isNull() | b.isNull() | (a == b))
-    return pairs
+    return temporal_aggregate(rows, ["metric", parent], {"usage": F.sum("usage"), "capacity": F.sum("capacity")}, bucket, merge=False, seams=False)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
@@ -163,27 +176,64 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
     return x
 
 
-def best_fit_rules(metrics: DataFrame, phases: DataFrame, on: list[str], by: str) -> DataFrame:
-    """Variable demand of each phase type for each kind of metric (column by), fitted to the usage of all its samples.
+def best_fit_rules(metrics: DataFrame, phases: DataFrame, on: list[str], by: str, bucket: float | None = None) -> DataFrame:
+    """Variable demand of each phase type for each kind of metric (column by), fitted to the usage of all its samples."""
+    free = phases.withColumn("phase", F.lit(None).cast("string"))
+    return best_fit(metrics, free, on, by, None, bucket).select("kind", "type", "rule", "demand")
+
+
+def best_fit(metrics: DataFrame, phases: DataFrame, on: list[str], by: str, overrides: DataFrame | None = None, bucket: float | None = None) -> DataFrame:
+    """kind, type, phase, rule, demand: the rules of each kind of metric (column by, such as the metric itself), fitted to the usage of its samples.
+
+    overrides (phase, rule, demand; rule exact, variable or none) hold for single phases and take them out of their type: exact
+    demand is taken off the usage, down to zero for each sample; variable demand is one more column of the fit, whose coefficient
+    scales the overriding rules. A row with a type is the rule of its other phases, one with a phase that of an overridden one.
 
     The rows of the fit are reduced to their normal equations by Spark, so what one task solves has
-    the size of the number of types, whatever the number of samples.
+    the size of the number of types, whatever the number of samples. Samples in which nothing is active do not change the fit.
     """
-    met = overlap_join(metrics.select(*on, "metric", by, "usage", START, END), phases.select(*on, "type", START, END), ("m", "p"), [(c, c) for c in on])
-    length = F.col("m_end_time") - F.col("m_start_time")
-    active = met.groupBy(F.col(f"m_{by}").alias("kind"), F.col("m_metric").alias("metric"), F.col("m_start_time").alias("sample"), F.col("m_usage").alias("usage"), F.col("p_type").alias("type")).agg(F.sum(F.col("_duration") / length).alias("part"))
-    other = active.select("metric", "sample", F.col("type").alias("type2"), F.col("part").alias("part2"))
-    products = active.join(other, ["metric", "sample"]).groupBy("kind", "type", "type2").agg(F.sum(F.col("part") * F.col("part2")).alias("product"))
-    sides = active.groupBy("kind", "type").agg(F.sum(F.col("part") * F.col("usage")).alias("side"))
+    plain = {"_rule": F.lit(None).cast("string"), "_demand": F.lit(0.0)}
+    if overrides is None:
+        tagged = phases.withColumns(plain)
+    else:
+        tagged = phases.join(overrides.select("phase", F.col("rule").alias("_rule"), F.col("demand").cast("double").alias("_demand")), "phase", "left")
+    wanted = tagged.filter("_rule IS NULL OR _rule <> 'none'").select(*on, "type", "_rule", "_demand", START, END)
+    met = overlap_join(metrics.select(*on, "metric", by, "usage", START, END), wanted, ("m", "p"), [(c, c) for c in on], bucket)
+    part = F.col("_duration") / (F.col("m_end_time") - F.col("m_start_time"))
+    # The columns of a sample's row: one for each type, one (null) for overriding variable demand, and exact demand.
+    column = F.struct(F.coalesce("p_rule", F.lit("type")).alias("what"), F.when(F.col("p_rule").isNull(), F.col("p_type")).alias("type"))
+    share = F.when(F.col("p_rule").isNull(), part).otherwise(part * F.col("p_demand"))
+    cells = met.groupBy(F.col(f"m_{by}").alias("kind"), F.col("m_metric").alias("metric"), F.col("m_start_time").alias("sample"), F.col("m_usage").alias("usage"), column.alias("column")).agg(F.sum(share).alias("part"))
+    row = cells.groupBy("kind", "metric", "sample", "usage").agg(F.sum(F.when(F.col("column.what") == "exact", F.col("part")).otherwise(0.0)).alias("_exact"), F.collect_list(F.when(F.col("column.what") != "exact", F.struct(F.col("column.type").alias("type"), "part"))).alias("row"))
+    row = row.withColumn("target", F.greatest(F.col("usage") - F.col("_exact"), F.lit(0.0)))  # a row holds a cell for each type at most
+    one = row.select("kind", "target", "row", F.explode("row").alias("a"))
+    sides = one.groupBy("kind", F.col("a.type").alias("type")).agg(F.sum(F.col("a.part") * F.col("target")).alias("side"))
+    products = one.select("kind", "a", F.explode("row").alias("b")).groupBy("kind", F.col("a.type").alias("type"), F.col("b.type").alias("type2")).agg(F.sum(F.col("a.part") * F.col("b.part")).alias("product"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        types = sorted(pdf["type"].unique())
-        square = pdf.pivot_table(index="type", columns="type2", values="product", fill_value=0.0).reindex(index=types, columns=types, fill_value=0.0).to_numpy()
-        side = pdf.drop_duplicates("type").set_index("type")["side"].reindex(types).to_numpy()
+        name = lambda t: (t is None, t or "")
+        types = sorted({name(t) for t in pdf["type"]})
+        place = {t: k for k, t in enumerate(types)}
+        square, side = np.zeros((len(types), len(types))), np.zeros(len(types))
+        for t, u, product, s in zip(pdf["type"], pdf["type2"], pdf["product"], pdf["side"]):
+            square[place[name(t)], place[name(u)]] = product
+            side[place[name(t)]] = s
         value, vector = np.linalg.eigh(square)
         keep = value > 1e-10 * max(value.max(), 1e-300)
         root = np.sqrt(value[keep])[:, None] * vector[:, keep].T
         x = nnls(root, (vector[:, keep].T @ side) / np.sqrt(value[keep]))
-        return pd.DataFrame({"kind": pdf["kind"].iloc[0], "type": types, "rule": "variable", "demand": x})
-
-    return products.join(sides, ["kind", "type"]).groupBy("kind").applyInPandas(solve, "kind string, type string, rule string, demand double")
+        return pd.DataFrame({"kind": pdf["kind"].iloc[0], "type": [None if none else t for none, t in types], "demand": x})
+
+    fitted = products.join(sides.withColumnRenamed("kind", "_k").withColumnRenamed("type", "_t"), (F.col("kind") == F.col("_k")) & F.col("type").eqNullSafe(F.col("_t"))).drop("_k", "_t")
+    solved = fitted.groupBy("kind").applyInPandas(solve, "kind string, type string, demand double")
+    none = F.lit(None).cast("string")
+    rules = solved.filter("type IS NOT NULL").select("kind", "type", none.alias("phase"), F.lit("variable").alias("rule"), "demand")
+    if overrides is None:
+        return rules
+    # An overridden phase has a rule for each kind that one of its samples met.
+    single = tagged.filter("_rule IS NOT NULL").select(*on, "phase", "_rule", "_demand", START, END)
+    touched = overlap_join(metrics.select(*on, by, START, END), single, ("m", "p"), [(c, c) for c in on], bucket)
+    touched = touched.select(F.col(f"m_{by}").alias("kind"), F.col("p_phase").alias("phase"), F.col("p_rule").alias("rule"), F.col("p_demand").alias("demand")).distinct()
+    scale = solved.filter("type IS NULL").select("kind", F.col("demand").alias("scale"))
+    own = touched.join(scale, "kind", "left").withColumn("demand", F.when(F.col("rule") == "variable", F.col("demand") * F.coalesce("scale", F.lit(0.0))).otherwise(F.col("demand")))
+    return rules.unionByName(own.select("kind", none.alias("type"), "phase", "rule", "demand"))

@@ -50,30 +50,57 @@ def overlap_join(left: DataFrame, right: DataFrame, aliases: tuple[str, str], on
     return joined.select(start.alias(START), end.alias(END), (end - start).alias(DURATION), *joined.columns)
 
 
+def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, bucket: Column | None = None) -> DataFrame:
+    """df with running sums and maxima (new column: column) over the rows of each group up to and with the row, in a total order.
+
+    bucket, a column that grows with the order, splits a group over tasks: rows run inside a bucket, and go on from what the
+    buckets before add up to.
+    """
+    exprs = {n: (F.sum, c) for n, c in (sums or {}).items()} | {n: (F.max, c) for n, c in (maxima or {}).items()}
+    if bucket is None:
+        over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({n: f(c).over(over) for n, (f, c) in exprs.items()})
+    rows = df.withColumn("_b", bucket)
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "_b").agg(*[f(c).alias(f"_{n}") for n, (f, c) in exprs.items()])
+    totals = totals.select(*by, "_b", *[f(f"_{n}").over(before).alias(f"_{n}") for n, (f, c) in exprs.items()])
+    joined = rows.withColumns({n: f(c).over(inside) for n, (f, c) in exprs.items()}).join(totals, [*by, "_b"])
+    both = {n: F.greatest(n, f"_{n}") if n in (maxima or {}) else F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in exprs}
+    return joined.withColumns(both).select(*df.columns, *exprs)
+
+
+def split_at(df: DataFrame, bucket: float) -> DataFrame:
+    """The rows cut at the edges of buckets of time, with the bucket's number as _b."""
+    rows = df.withColumn("_b", F.explode(_buckets(F.col(START), F.col(END), bucket)))
+    rows = rows.withColumns({START: F.greatest(F.col(START), F.col("_b") * bucket), END: F.least(F.col(END), (F.col("_b") + 1) * bucket)})
+    return rows.filter(F.col(START) < F.col(END))
+
+
 def slices(df: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
     """The elementary slices between neighbouring change points of each group of keys.
 
     With bucket, the edges of buckets are change points too, and no task gets more than a bucket
-    of a group.
+    of a group; _seam marks the slices that begin at an edge where nothing changes.
     """
-    points = df.select(*keys, F.explode(F.array(START, END)).alias("s"))
-    if bucket:
-        edges = df.select(*keys, F.explode(_buckets(F.col(START), F.col(END), bucket)).alias("b"))
-        points = points.union(edges.select(*keys, F.explode(F.array(F.col("b") * bucket, (F.col("b") + 1) * bucket)).alias("s")))
-    points = points.distinct()
     if not bucket:
+        points = df.select(*keys, F.explode(F.array(START, END)).alias("s")).distinct()
         return points.withColumn("e", F.lead("s").over(Window.partitionBy(*keys).orderBy("s"))).filter(F.col("e").isNotNull())
-    points = points.withColumn("b", F.floor(F.col("s") / bucket))
+    point = lambda at, seam: F.struct(at.cast("double").alias("s"), F.lit(seam).alias("seam"))
+    edges = F.flatten(F.transform(_buckets(F.col(START), F.col(END), bucket), lambda b: F.array(point(b * bucket, True), point((b + 1) * bucket, True))))
+    points = df.select(*keys, F.explode(F.concat(F.array(point(F.col(START), False), point(F.col(END), False)), edges)).alias("p"))
+    points = points.groupBy(*keys, F.col("p.s").alias("s")).agg(F.min("p.seam").alias("_seam")).withColumn("b", F.floor(F.col("s") / bucket))
     last = (F.col("b") + 1) * bucket
     return points.withColumn("e", F.coalesce(F.lead("s").over(Window.partitionBy(*keys, "b").orderBy("s")), last)).drop("b")
 
 
-def temporal_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, Column], bucket: float | None = None, merge: bool = True) -> DataFrame:
+def temporal_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, Column], bucket: float | None = None, merge: bool = True, seams: bool = True) -> DataFrame:
     """Aggregates over the rows active in each elementary slice, by group of keys.
 
     Slices without an active row give none. Neighbouring slices of equal values are merged. With a
     bucket (seconds; needed without keys) slices and rows meet in buckets of time, so a hot group is
-    spread over tasks and no slice meets rows that are far from it.
+    spread over tasks and no slice meets rows that are far from it. Unmerged slices are then cut at the
+    edges of buckets; without seams those parts are put together again.
     """
     cut = slices(df, keys, bucket)
     if bucket:
@@ -83,21 +110,44 @@ def temporal_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, Col
     else:
         joined = df.join(cut, keys)
     active = joined.filter((F.col(START) <= F.col("s")) & (F.col(END) >= F.col("e")))
-    out = active.groupBy(*keys, *(["_b"] if bucket else []), "s", "e").agg(*[c.alias(n) for n, c in aggregates.items()])
-    out = out.select(F.col("s").alias(START), F.col("e").alias(END), (F.col("e") - F.col("s")).alias(DURATION), *keys, *aggregates)
+    out = active.groupBy(*keys, *(["_b", "_seam"] if bucket else []), "s", "e").agg(*[c.alias(n) for n, c in aggregates.items()])
+    out = out.withColumnsRenamed({"s": START, "e": END})
+    if bucket and not (merge or seams):
+        out = _without_seams(out, keys, list(aggregates))
+    out = with_duration(out).select(START, END, DURATION, *keys, *aggregates)
     return coalesce_intervals(out, keys, list(aggregates), bucket) if merge else out
 
 
-def temporal_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _without_seams(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Slices (with _b and _seam) joined across edges of buckets where nothing changes: only the first and the last slice of a bucket meet others."""
+    ends = Window.partitionBy(*keys, "_b")
+    marked = df.withColumn("_edge", (F.col(START) == F.min(START).over(ends)) | (F.col(START) == F.max(START).over(ends)))
+    over = Window.partitionBy(*keys).orderBy(START)
+    edges = marked.filter("_edge")
+    edges = edges.withColumn("_run", F.sum(F.when(F.col("_seam") & (F.lag(END).over(over) == F.col(START)), 0).otherwise(1)).over(over))
+    joined = edges.groupBy(*keys, "_run").agg(F.min(START).alias(START), F.max(END).alias(END), *[F.min_by(v, START).alias(v) for v in values])
+    columns = [START, END, *keys, *values]
+    return joined.select(*columns).unionByName(marked.filter("not _edge").select(*columns))
+
+
+def temporal_sum(df: DataFrame, keys: list[str], value: str, bucket: float | None = None) -> DataFrame:
     """Sum of value over the active rows by changes at the ends of rows: one row per change, never slices times rows.
 
-    Sums run through the changes, so doubles may differ from the exact operator in the last digits.
+    Sums run through the changes, so doubles may differ from the exact operator in the last digits. With bucket, the changes
+    of a group run through buckets of time.
     """
     ends = df.select(*keys, F.explode(F.array(F.struct(F.col(START).alias("s"), F.col(value).alias("v"), F.lit(1).alias("n")), F.struct(F.col(END).alias("s"), (-F.col(value)).alias("v"), F.lit(-1).alias("n")))).alias("p"))
     changes = ends.groupBy(*keys, F.col("p.s").alias("s")).agg(F.sum("p.v").alias("v"), F.sum("p.n").alias("n"))
-    over = Window.partitionBy(*keys).orderBy("s")
-    out = changes.select(*keys, F.col("s").alias(START), F.lead("s").over(over).alias(END), F.sum("v").over(over).alias(value), F.sum("n").over(over).alias("n"))
-    return with_duration(out.filter("n > 0").drop("n"))
+    at = F.floor(F.col("s") / bucket) if bucket else None
+    out = running(changes, keys, ["s"], sums={"_v": "v", "_n": "n"}, bucket=at)
+    if bucket:  # what follows the last change of a bucket is the first one of the next bucket with changes
+        inside, out = Window.partitionBy(*keys, "_b").orderBy("s"), out.withColumn("_b", at)
+        firsts = out.groupBy(*keys, "_b").agg(F.min("s").alias("s"))
+        firsts = firsts.select(*keys, "_b", F.lead("s").over(Window.partitionBy(*keys).orderBy("_b")).alias("_next"))
+        out = out.withColumn("_e", F.lead("s").over(inside)).join(firsts, [*keys, "_b"]).withColumn("_e", F.coalesce("_e", "_next"))
+    else:
+        out = out.withColumn("_e", F.lead("s").over(Window.partitionBy(*keys).orderBy("s")))
+    return with_duration(out.filter("_n > 0").select(*keys, F.col("s").alias(START), F.col("_e").alias(END), F.col("_v").alias(value)))
 
 
 def coalesce_intervals(df: DataFrame, series: list[str], values: list[str], bucket: float | None = None) -> DataFrame:
@@ -125,16 +175,24 @@ def _merged(df: DataFrame, by: list[str], series: list[str], values: list[str])
     return runs.groupBy(*series, "_run").agg(F.min(START).alias(START), F.max(END).alias(END), *[F.first(v).alias(v) for v in values]).drop("_run")
 
 
-def covered_time(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The union of each group's intervals, as disjoint intervals."""
+def covered_time(df: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
+    """The union of each group's intervals, as disjoint intervals; with bucket a group is covered by buckets of time."""
+    if bucket:
+        return coalesce_intervals(covered_time(split_at(df.select(*keys, START, END), bucket), [*keys, "_b"]), keys, [], bucket).drop(DURATION)
     over = Window.partitionBy(*keys).orderBy(START, END)
     reach = F.max(END).over(over.rowsBetween(Window.unboundedPreceding, -1))
     runs = df.withColumn("_new", F.when(reach >= F.col(START), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "_run").agg(F.min(START).alias(START), F.max(END).alias(END)).drop("_run")
 
 
-def interval_minus(left: DataFrame, right: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
-    """What is left of each row of left without the times of right in the same group; row tells rows of left apart."""
+def interval_minus(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], bucket: float | None = None) -> DataFrame:
+    """What is left of each row of left without the times of right in the same group; row tells rows of left apart.
+
+    With bucket, both sides are cut at the edges of buckets and meet inside one; what is left of a row is put together again.
+    """
+    if bucket:
+        parts = interval_minus(split_at(left, bucket), split_at(right.select(*keys, START, END), bucket), [*keys, "_b"], [*row, "_b"])
+        return with_duration(_merged(parts, row, [c for c in left.columns if c not in RESERVED], [])).select(*left.columns)
     gone = covered_time(right, keys).select(*keys, F.col(START).alias("_gs"), F.col(END).alias("_ge"))
     met = left.alias("l").join(gone.alias("g"), [F.col(f"l.{k}") == F.col(f"g.{k}") for k in keys] + [F.col(START) < F.col("_ge"), F.col("_gs") < F.col(END)], "left")
     met = met.select("l.*", "_gs", "_ge")
@@ -149,6 +207,15 @@ def interval_minus(left: DataFrame, right: DataFrame, keys: list[str], row: list
     return with_duration(out).select(*left.columns)
 
 
+def covered_from(df: DataFrame, keys: list[str], value: str, spans: DataFrame, bucket: float | None = None) -> DataFrame:
+    """The series of df over the whole of each span (keys, interval): clipped to it, and zero where the series has no row."""
+    held = overlap_join(df.select(*keys, value, START, END), spans.select(*keys, START, END), ("r", "s"), [(k, k) for k in keys], bucket)
+    held = held.select(START, END, *[F.col(f"r_{k}").alias(k) for k in keys], F.col(f"r_{value}").alias(value))
+    known = spans.select(*keys, START, END, F.monotonically_increasing_id().alias("_span"))
+    empty = interval_minus(known.withColumn(DURATION, F.col(END) - F.col(START)), held, keys, ["_span"], bucket)
+    return with_duration(held.unionByName(empty.select(START, END, *keys, F.lit(0.0).alias(value))))
+
+
 def between(df: DataFrame, start: float, end: float) -> DataFrame:
     """Rows that overlap [start, end), whole."""
     return df.filter((F.col(START) < end) & (F.col(END) > start))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import paths as P
+from ..functions.session import cut
 from ..operators import attribution as A
 from ..operators import bottlenecks as B
 from ..operators import intervals as I
@@ -143,10 +144,6 @@ def limit_last(spark, sf_dir):
 
 def numbered(df: DataFrame, order: list) -> DataFrame:
     """df with place, counting from 1 in a total order: ranges are counted, then numbered inside."""
-    from pyspark.sql import Window
-
-    from ..functions.session import cut
-
     ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - C("_n")).alias("_start"))
@@ -306,8 +303,8 @@ def tagg_first_row(spark, sf_dir):
 
 @query(_sweep("user_id", "SELECT s, e, user_id FROM metrics", "n = count(*)::DOUBLE"))
 def tagg_count_active(spark, sf_dir):
-    counts = I.temporal_sum(V.metrics(spark, sf_dir).withColumn("n_", F.lit(1.0)), ["user_id"], "n_").withColumnRenamed("n_", "n")
-    return I.coalesce_intervals(counts, ["user_id"], ["n"]).select("user_id", *times(), "n")
+    counts = I.temporal_sum(V.metrics(spark, sf_dir).withColumn("n_", F.lit(1.0)), ["user_id"], "n_", WIDTH).withColumnRenamed("n_", "n")
+    return I.coalesce_intervals(counts, ["user_id"], ["n"], WIDTH).select("user_id", *times(), "n")
 
 
 _MERGED = """, src AS ({source}), runs AS (SELECT *, CASE WHEN lag(e) OVER w = s AND lag(v) OVER w = v THEN 0 ELSE 1 END AS fresh FROM src WINDOW w AS (PARTITION BY k ORDER BY s)),
@@ -374,7 +371,7 @@ SELECT path, round(s, 6) AS start_time, round(e, 6) AS end_time FROM pieces WHER
 def interval_minus(spark, sf_dir):
     m, p = V.metrics(spark, sf_dir).filter("type = '/user:click'"), V.phases(spark, sf_dir).filter("type = '/user/error'")
     m = m.withColumn("_row", F.struct("path", "_start_time"))
-    return I.interval_minus(m, p, ["user_id"], ["_row"]).select("path", *times())
+    return I.interval_minus(m, p, ["user_id"], ["_row"], WIDTH).select("path", *times())
 
 
 _CURVE = """
@@ -439,9 +436,9 @@ _SHARES = (
 
 
 def _leaves(spark, sf_dir):
-    """Usage of each metric by each phase: over the metric's upsampled usage."""
+    """Usage of each metric by each phase: over the metric's upsampled usage, which is computed once and kept."""
     curve, p = _curve(spark, sf_dir)
-    return A.attribute(A.upsample(curve, ["user_id"]), p, V.rules(spark), ["user_id"], WIDTH)
+    return A.attribute(cut(A.upsample(curve, ["user_id"])), p, V.rules(spark), ["user_id"], WIDTH)
 
 
 def _attributed(kind: str):
@@ -478,14 +475,14 @@ def attribute_composite(spark, sf_dir):
     """All ancestors of the leaves, each over its whole time."""
     above = lambda df, path: df.withColumn("parent", F.explode(P.ancestors_of(C(path))))
     spans = above(V.phases(spark, sf_dir), "path").groupBy("parent").agg(F.min("_start_time").alias("_start_time"), F.max("_end_time").alias("_end_time"))
-    out = A.attribute_composite(above(_leaves(spark, sf_dir), "phase"), "parent", spans)
+    out = A.attribute_composite(above(_leaves(spark, sf_dir), "phase"), "parent", spans, WIDTH)
     return out.select("metric", C("parent").alias("phase"), *times(), r6("usage"), r6("capacity"))
 
 
 @query()
 def nnls_fit(spark, sf_dir):
     """Fitted demand of each phase type for each metric type: an active-set solver, so no SQL."""
-    fitted = A.best_fit_rules(V.metrics(spark, sf_dir).withColumn("metric", C("path")).withColumn("kind", C("type")), V.phases(spark, sf_dir), ["user_id"], "kind")
+    fitted = A.best_fit_rules(V.metrics(spark, sf_dir).withColumn("metric", C("path")).withColumn("kind", C("type")), V.phases(spark, sf_dir), ["user_id"], "kind", WIDTH)
     return fitted.select("kind", "type", r6("demand"))
 
 
