@@ -98,3 +98,54 @@ def glob_regex(pattern: str) -> str:
 def matches(path: Column, pattern: str) -> Column:
     """The whole path fits the glob."""
     return path.rlike(glob_regex(pattern))
+
+
+# Whole paths, whose components `/` separates
+
+
+def is_absolute(path: Column) -> Column:
+    return path.startswith("/")
+
+
+def components(path: Column) -> Column:
+    """The components between separators; several separators count as one, one at the end as none."""
+    return F.filter(F.split(path, "/"), lambda c: c != "")
+
+
+def _joined(absolute: Column, parts: Column) -> Column:
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def _leads_out(path: Column) -> Column:
+    """An absolute path that asks for the parent of the root, at some component."""
+    step = lambda c: F.when(c == ".", 0).when(c == "..", -1).otherwise(1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    moved = lambda a, c: F.struct((a["depth"] + step(c)).alias("depth"), F.least(a["least"], a["depth"] + step(c)).alias("least"))
+    return is_absolute(path) & (F.aggregate(components(path), start, moved)["least"] < 0)
+
+
+def canonical(path: Column) -> Column:
+    """path without `.` and, where a component precedes it, `..`; leading `..` of a relative path stay. Null if an absolute path leads out of the root."""
+    none = F.array().cast("array<string>")
+
+    def add(parts: Column, c: Column) -> Column:
+        goes_up = (F.size(parts) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), parts), -1) != "..")
+        return F.when(c == ".", parts).when((c == "..") & goes_up, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(F.concat(parts, F.array(c)))
+
+    return F.when(~_leads_out(path), _joined(is_absolute(path), F.aggregate(components(path), none, add)))
+
+
+def resolve(path: Column, other: Column) -> Column:
+    """other if it is absolute, else other below path; not made canonical."""
+    return F.when(is_absolute(other), _joined(F.lit(True), components(other))).otherwise(_joined(is_absolute(path), F.concat(components(path), components(other))))
+
+
+def contains(path: Column, other: Column) -> Column:
+    """other is path or lies below it, both in canonical form."""
+    a, b = components(canonical(path)), components(canonical(other))
+    return (is_absolute(path) == is_absolute(other)) & (F.size(a) <= F.size(b)) & (F.slice(b, 1, F.size(a)) == a)
+
+
+def order_key(path: Column) -> Column:
+    """Sorts absolute paths first, then by components, a path before those below it."""
+    return F.struct((~is_absolute(path)).alias("relative"), components(path).alias("components"))

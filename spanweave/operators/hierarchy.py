@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.patterns import compile_pattern, metric_regex
 from ..functions.session import cut
 from .bottlenecks import GLOBAL, LOCAL, NONE
 from .intervals import END, START, coalesce_intervals, covered_time, interval_minus, overlap_join, temporal_aggregate
@@ -184,3 +185,38 @@ def blocked_above(blocked: DataFrame, bucket: float | None = None) -> DataFrame:
     """path and interval of every ancestor's blocked time: a composite is blocked while one of its leaves (path, interval) is."""
     up = blocked.select(START, END, F.explode(P.ancestors_of(F.col("path"))).alias("path"))
     return coalesce_intervals(temporal_aggregate(up, ["path"], {"_n": F.lit(1)}, bucket, merge=False).drop("_n"), ["path"], [], bucket)
+
+
+# Nodes by pattern
+
+
+def find(nodes: DataFrame, pattern: str, start: DataFrame | None = None) -> DataFrame:
+    """path of the nodes (column path, all of a tree but perhaps its root `/`) that a path pattern finds, from the nodes of start (column path; the root if there is none).
+
+    Steps down from the root are one regular expression, evaluated where the nodes are read. After `..` or from given nodes the
+    steps down join on the prefix of as many components as are left, or on all prefixes where `**` leaves their number open.
+    """
+    absolute, steps = compile_pattern(pattern)
+    every = nodes.select("path").filter("path <> '/'")
+    at = None if absolute or start is None else start.select("path").distinct()  # None: the root
+    root = nodes.sparkSession.createDataFrame([("/",)], "path string")
+    for step in steps:
+        for _ in range(step.up):
+            at = (root.limit(0) if at is None else at.filter("path <> '/'").select(F.element_at(P.ancestors_of(F.col("path")), -1).alias("path"))).distinct()
+        if step.regex is None:
+            continue
+        if at is None:
+            at = every.filter(F.col("path").rlike(rf"\A{step.regex}\z")).distinct()
+            continue
+        up = P.ancestors_of(F.col("path"))
+        ends = every.withColumn("_up", F.explode(up)) if step.depth is None else every.withColumn("_up", F.get(up, F.size(up) - step.depth))
+        below = ends.withColumn("_rest", F.expr("if(_up = '/', path, substring(path, length(_up) + 1))"))
+        at = below.filter(F.col("_rest").rlike(rf"\A{step.regex}\z")).join(at.withColumnRenamed("path", "_up"), "_up", "left_semi").select("path").distinct()
+    return root if at is None else at
+
+
+def find_metrics(metrics: DataFrame, pattern: str, resources: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """resource, metric of the metrics (columns resource, metric) that `resource pattern:name` finds, `*` in the name standing for any characters."""
+    place, _, name = pattern.rpartition(":")
+    found = find(resources, place, start).withColumnRenamed("path", "resource")
+    return metrics.select("resource", "metric").distinct().filter(F.col("metric").rlike(metric_regex(name))).join(found, "resource", "left_semi")
