@@ -44,9 +44,9 @@ def parent_of(path: Column) -> Column:
 
 
 def ancestors_of(path: Column) -> Column:
-    """All paths above path, the root first."""
+    """All paths above path, the root first; none above the root."""
     inner = _cuts(path, 2, F.length(path))
-    return F.concat(F.when(_leading(path) != "", F.array(_leading(path))).otherwise(F.array().cast("array<string>")), F.transform(inner, lambda i: path.substr(F.lit(1), i - 1)))
+    return F.concat(F.when((_leading(path) != "") & (F.length(path) > 1), F.array(_leading(path))).otherwise(F.array().cast("array<string>")), F.transform(inner, lambda i: path.substr(F.lit(1), i - 1)))
 
 
 def _rounded(n: Column) -> Column:

@@ -66,28 +66,29 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ready, ["group", "node"], "left").select("group", "node", (F.coalesce("ready", F.lit(0.0)) + F.col("duration")).alias("finish"))
 
 
-def sibling_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (group, node, type, ...) with class: siblings of one type that wait for the same nodes and that the same nodes wait for are interchangeable.
+def sibling_classes(nodes: DataFrame, edges: DataFrame, parent: str = "group") -> DataFrame:
+    """nodes (group, node, type, parent, ...) with class: siblings of one type that wait for the same nodes and that the same nodes wait for are interchangeable.
 
     Sets of neighbours are compared by count and two sums of 64-bit hashes, which need no list and no order.
     """
+
     def signature(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
         hashed = [F.sum(F.xxhash64(F.lit(seed), other).cast("decimal(20,0)")) for seed in (1, 2)]
         return df.groupBy("group", F.col(own).alias("node")).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[h.cast("string") for h in hashed]).alias(name))
 
     pairs = edges.select("group", "after", "node").distinct()
     tied = nodes.join(signature(pairs, "node", "after", "_in"), ["group", "node"], "left").join(signature(pairs, "after", "node", "_out"), ["group", "node"], "left")
-    return tied.withColumn("class", F.concat_ws("|", "type", F.coalesce("_in", F.lit("0")), F.coalesce("_out", F.lit("0")))).drop("_in", "_out")
+    return tied.withColumn("class", F.concat_ws("|", F.col(parent).cast("string"), "type", F.coalesce("_in", F.lit("0")), F.coalesce("_out", F.lit("0")))).drop("_in", "_out")
 
 
-def imbalance_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def imbalance_impact(nodes: DataFrame, edges: DataFrame, parent: str = "group") -> DataFrame:
     """group, type, n, measured, balanced, impact for each type with interchangeable siblings in a group: the group's length when
     its nodes take as long as measured, when those of the type take the mean of their class, and what that saves.
 
     A length is the group's longest path. The means stay inside a class, so inside one parent. The cases of a group are told
     apart by a case number in the group, so that all are solved by the same rounds of doubling.
     """
-    held = cut(sibling_classes(nodes.select("group", "node", "type", "duration"), edges))
+    held = cut(sibling_classes(nodes.select(*dict.fromkeys(["group", "node", "type", "duration", parent])), edges, parent))
     classes = held.groupBy("group", "type", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean"))
     cases = classes.filter("n > 1").groupBy("group", "type").agg(F.sum("n").alias("n")).withColumnRenamed("type", "case")
     every = cases.select("group", "case").unionByName(cases.select("group", F.lit(None).cast("string").alias("case")).distinct())

@@ -148,14 +148,17 @@ def fold_statuses(leaves: DataFrame, keys: list[str], default: Predicate, rules:
         children = children.withColumns({"_parent": parent, "_type": type_of(F.col("path")), "_sev": severity[F.col("status")]})
         kind = parent_type(F.col("_parent"))
         n, hits, worst = F.count(F.lit(1)), F.count_if(F.col("_sev") > 0), F.max("_sev")
-        cells = temporal_aggregate(children, ["_parent", "_type", *keys], {"_n": n, "_hits": hits, "_worst": worst}, bucket, merge=False)
         status_of = lambda p, n, hits, worst: _combined(p, n, hits, F.get(names, worst))
-        # Over all children the types' counts add up; by type each type is one member.
-        of_type = cells.withColumn("_status", _by_rule(rules, default, kind, lambda r: status_of(r.inner, F.col("_n"), F.col("_hits"), F.col("_worst"))))
-        of_type = of_type.withColumn("_tsev", severity[F.col("_status")])
-        sums = {"_n": F.sum("_n"), "_hits": F.sum("_hits"), "_worst": F.max("_worst"), "_tn": F.count(F.lit(1)), "_thits": F.count_if(F.col("_tsev") > 0), "_tworst": F.max("_tsev")}
-        whole = temporal_aggregate(of_type, ["_parent", *keys], sums, bucket, merge=False)
-        status = _by_rule(rules, default, kind, lambda r: status_of(r.inner, F.col("_n"), F.col("_hits"), F.col("_worst")) if r.outer is None else status_of(r.outer, F.col("_tn"), F.col("_thits"), F.col("_tworst")))
+        sums, flat = {"_n": n, "_hits": hits, "_worst": worst}, lambda r: status_of(r.inner, F.col("_n"), F.col("_hits"), F.col("_worst"))
+        if all(r.outer is None for r in (default, *rules.values())):
+            whole = temporal_aggregate(children, ["_parent", *keys], sums, bucket, merge=False)
+            status = _by_rule(rules, default, kind, flat)
+        else:  # over all children the types' counts add up; by type each type is one member
+            cells = temporal_aggregate(children, ["_parent", "_type", *keys], sums, bucket, merge=False)
+            of_type = cells.withColumn("_tsev", severity[_by_rule(rules, default, kind, flat)])
+            sums = {"_n": F.sum("_n"), "_hits": F.sum("_hits"), "_worst": F.max("_worst"), "_tn": F.count(F.lit(1)), "_thits": F.count_if(F.col("_tsev") > 0), "_tworst": F.max("_tsev")}
+            whole = temporal_aggregate(of_type, ["_parent", *keys], sums, bucket, merge=False)
+            status = _by_rule(rules, default, kind, lambda r: flat(r) if r.outer is None else status_of(r.outer, F.col("_tn"), F.col("_thits"), F.col("_tworst")))
         folded = whole.withColumn("status", status).withColumnRenamed("_parent", "path")
         below = cut(coalesce_intervals(folded, ["path", *keys], ["status"], bucket))
         levels.append(below)

@@ -579,3 +579,6 @@ def peak_by_phase_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagg_after_tjoin(spark, sf_dir)
+
+
+from . import models  # noqa: E402, F401  registers its queries
