@@ -45,8 +45,10 @@ def parent_of(path: Column) -> Column:
 
 def ancestors_of(path: Column) -> Column:
     """All paths above path, the root first; none above the root."""
-    inner = _cuts(path, 2, F.length(path))
-    return F.concat(F.when((_leading(path) != "") & (F.length(path) > 1), F.array(_leading(path))).otherwise(F.array().cast("array<string>")), F.transform(inner, lambda i: path.substr(F.lit(1), i - 1)))
+    none = F.array().cast("array<string>")
+    longer = lambda found, part: F.concat(found, F.array(F.concat(F.coalesce(F.get(found, F.size(found) - 1), F.lit("")), part)))
+    inner = F.aggregate(F.split(path, "(?=[/:])"), none, longer, lambda found: F.slice(found, 1, F.size(found) - 1))
+    return F.concat(F.when((_leading(path) != "") & (F.length(path) > 1), F.array(_leading(path))).otherwise(none), inner)
 
 
 def _rounded(n: Column) -> Column:

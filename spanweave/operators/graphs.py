@@ -28,7 +28,7 @@ def direct_predecessors(rows: DataFrame, group: str = "group", node: str = "node
     base = rows.select(F.col(group).alias("g"), F.col(node).alias("n"), F.col(start).alias("s"), F.col(end).alias("e"))
     # Ends come before starts of the same time: a node may begin as another one ends.
     marks = base.select("g", "n", F.explode(F.array(F.struct(F.col("e").alias("t"), F.lit(0).alias("kind"), F.col("s").alias("line")), F.struct(F.col("s").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(base.schema["s"].dataType).alias("line")))).alias("m")).select("g", "n", "m.*")
-    seen = running(marks.withColumn("one", 1 - F.col("kind")), ["g"], ["t", "kind", "n"], {"ended": "one"}, {"latest": "line"}, bucket)
+    seen = cut(running(marks.withColumn("one", 1 - F.col("kind")), ["g"], ["t", "kind", "n"], {"ended": "one"}, {"latest": "line"}, bucket))
     ends = seen.filter("kind = 0").select("g", "n", "t", F.col("ended").alias("place"))
     starts = seen.filter("kind = 1 and ended > 0").select("g", F.col("n").alias("node"), "latest", F.col("ended").alias("high"))
     # The places of the ends up to the line: one more walk over the group's times.

@@ -273,8 +273,8 @@ def best_fit_overrides(spark, sf_dir):
 def _orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Order lines (group: the customer, node, order, type, duration in days) and the orders' dependencies (group, after, node)."""
     s = V.shipments(spark, sf_dir)
-    order = F.element_at(P.ancestors_of(C("path")), -1)
-    lines = s.select(F.element_at(P.ancestors_of(order), -1).alias("group"), order.alias("order"), C("path").alias("node"), F.when(C("quantity") >= 25, "bulk").otherwise("small").alias("type"), C("_duration").alias("duration"), "_start_time", "_end_time")
+    order = P.parent_of(C("path"))
+    lines = s.select(P.parent_of(order).alias("group"), order.alias("order"), C("path").alias("node"), F.when(C("quantity") >= 25, "bulk").otherwise("small").alias("type"), C("_duration").alias("duration"), "_start_time", "_end_time")
     spans = lines.groupBy("group", C("order").alias("node")).agg(F.min("_start_time").alias("start"), F.max("_end_time").alias("end"))
     return lines, cut(G.direct_predecessors(spans, width=DAYS))
 

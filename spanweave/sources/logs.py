@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
+from ..operators.graphs import direct_predecessors
+
 MS = 1_000_000
 #: Fixed value: the time stamp of Airflow task logs.
 STAMP = r"\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})\]"
@@ -60,21 +63,24 @@ def read_spark_phases(spark: SparkSession, path: str) -> DataFrame:
 
 def job_dependencies(phases: DataFrame) -> DataFrame:
     """after, path: a job waits for the jobs that ended before it began, those left out that another such job waits for."""
-    jobs = phases.filter("type = '/spark_app/job'").select("parent", "path", "start_ns", "end_ns")
-    a, b, c = (jobs.select(*[F.col(x).alias(f"{p}_{x}") for x in jobs.columns]) for p in "abc")
-    before = a.join(b, (F.col("a_parent") == F.col("b_parent")) & (F.col("a_end_ns") <= F.col("b_start_ns")))
-    within = (F.col("a_parent") == F.col("c_parent")) & (F.col("a_end_ns") <= F.col("c_start_ns")) & (F.col("c_end_ns") <= F.col("b_start_ns"))
-    return before.join(c, within, "left_anti").select(F.col("a_path").alias("after"), F.col("b_path").alias("path"))
+    jobs = phases.filter("type = '/spark_app/job'")
+    return direct_predecessors(jobs, "parent", "path", "start_ns", "end_ns").select("after", "path")
 
 
 def _stamp_ns(column):
     return (F.unix_micros(F.to_timestamp(column, "yyyy-MM-dd HH:mm:ss,SSS")) * 1000).alias("ns")
 
 
+def _in_order(lines: DataFrame) -> DataFrame:
+    """file, at, value: lines with their place in their file, whatever splits it is read in: the split's first byte, then the order inside it."""
+    split = F.col("_metadata.file_block_start").alias("split")
+    return lines.select(F.input_file_name().alias("file"), F.struct(split, F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+
+
 def read_airflow_lines(spark: SparkSession, place: str) -> DataFrame:
     """file, dag, run, task, at, line of all task logs; a log without its context lines is left out."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(place)
-    lines = lines.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lines = _in_order(lines).withColumnRenamed("value", "line")
     tag = lambda name: F.max(F.when(F.col("line").contains(f"AIRFLOW_CTX_{name}="), F.regexp_extract("line", rf"AIRFLOW_CTX_{name}=(\S+)", 1)))
     named = lines.groupBy("file").agg(tag("DAG_ID").alias("dag"), tag("DAG_RUN_ID").alias("run"), tag("TASK_ID").alias("task"))
     return lines.join(named.filter("dag IS NOT NULL AND run IS NOT NULL AND task IS NOT NULL"), "file")
@@ -89,15 +95,22 @@ def airflow_phases(lines: DataFrame) -> DataFrame:
 
 
 def read_airflow_order(spark: SparkSession, place: str) -> DataFrame:
-    """dag, task, after: the edges of indented task trees, one file per DAG; a deeper line comes after the one it hangs from."""
+    """dag, task, after: the edges of indented task trees, one file per DAG; a deeper line comes after the one it hangs from.
+
+    Lines are indented by whole steps, the least indentation of a file. A line hangs from the last line above it that is one level
+    less deep: each line is offered to the level below its own, and a level's lines and offers are walked in order once.
+    """
     files = spark.read.option("pathGlobFilter", "*.dag").text(place)
-    rows = files.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).filter(F.col("line").contains("<Task("))
+    rows = _in_order(files).withColumnRenamed("value", "line").filter(F.col("line").contains("<Task("))
     rows = rows.withColumn("depth", F.length(F.regexp_extract("line", r"^(\s*)", 1))).withColumn("task", F.regexp_extract("line", r"<Task\([^)]*\):\s*([^>]+)>", 1))
     rows = rows.withColumn("dag", F.regexp_extract("file", r"([^/]+)\.dag$", 1))
-    back = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.filter(F.collect_list(F.struct("depth", "task")).over(back), lambda x: x["depth"] < F.col("depth"))
-    tied = rows.withColumn("above", above)
-    return tied.filter(F.size("above") > 0).select("dag", "task", F.element_at("above", -1)["task"].alias("after")).distinct()
+    step = rows.filter("depth > 0").groupBy("file").agg(F.min("depth").alias("step"))
+    rows = rows.join(step, "file").withColumn("level", F.expr("depth div step"))  # a file without a deeper line has no edges
+    offers = rows.select("dag", "file", "at", (F.col("level") + 1).alias("level"), F.lit(None).cast("string").alias("task"), F.col("task").alias("offer"))
+    both = offers.unionByName(rows.select("dag", "file", "at", "level", "task", F.lit(None).cast("string").alias("offer")))
+    over = Window.partitionBy("file", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    tied = both.withColumn("after", F.last("offer", ignorenulls=True).over(over))
+    return tied.filter("task IS NOT NULL AND after IS NOT NULL").select("dag", "task", "after").distinct()
 
 
 def spark_under_airflow(phases: DataFrame, lines: DataFrame) -> DataFrame:
@@ -139,6 +152,43 @@ def records_to_phases(records: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("path").agg(at("START").alias("start_ns"), at("END").alias("end_ns")).filter("start_ns IS NOT NULL AND end_ns IS NOT NULL AND path IS NOT NULL")
 
 
+def nested_phases(records: DataFrame, stream: list[str], name: str) -> DataFrame:
+    """stream, path, depth, start_ns, end_ns: phases from the START and END records (line, timestamp, event, tags) of a stream, whose lines nest and carry no ids.
+
+    The running depth pairs them: the k-th START that opens a depth belongs to the k-th END that closes it. Paths are the names
+    (tag `name`) of what is open, numbered inside what they lie in: [n=2] is the second of its name there. An END that closes nothing and a
+    START that nothing closes are left out.
+    """
+    marks = records.filter("event IN ('START', 'END')").select(*stream, "timestamp", "line", "event", F.col("tags")[name].alias("name"))
+    marks = marks.withColumn("step", F.when(F.col("event") == "START", 1).otherwise(-1))
+    over = Window.partitionBy(*stream).orderBy("timestamp", "line")
+    # An END without an open START counts as nothing: the depth is taken over its lowest point so far.
+    raw = marks.withColumn("raw", F.sum("step").over(over))
+    raw = raw.withColumn("low", F.least(F.lit(0), F.min("raw").over(over))).withColumn("before", F.coalesce(F.lag("low").over(over), F.lit(0)))
+    held = raw.filter((F.col("event") == "START") | (F.col("low") == F.col("before")))
+    held = held.withColumn("depth", F.col("raw") - F.col("low") + F.when(F.col("event") == "END", 1).otherwise(0))
+    kth = Window.partitionBy(*stream, "depth", "event").orderBy("timestamp", "line")
+    held = held.withColumn("k", F.row_number().over(kth))
+    start = lambda c: F.max(F.when(F.col("event") == "START", F.col(c)))
+    pairs = held.groupBy(*stream, "depth", "k").agg(start("name").alias("name"), start("timestamp").alias("start_ns"), start("line").alias("line"), F.max(F.when(F.col("event") == "END", F.col("timestamp"))).alias("end_ns"))
+    # What a phase lies in: the last START of each lower depth. Numbers first, then paths from the root down.
+    deepest = pairs.agg(F.max("depth")).first()[0] or 0
+    known = None
+    for depth in range(1, deepest + 1):
+        here = pairs.filter(F.col("depth") == depth).withColumns({"parent": F.lit(""), "from": F.col("start_ns")})
+        if known is not None:
+            both = here.select(*stream, "start_ns", "line", "depth", "k", "name", "end_ns", F.lit(None).cast("string").alias("up")).unionByName(known.select(*stream, "start_ns", "line", F.col("depth") + 1, F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("end_ns"), F.col("path").alias("up")).toDF(*stream, "start_ns", "line", "depth", "k", "name", "end_ns", "up"))
+            last = Window.partitionBy(*stream).orderBy("start_ns", "line")
+            here = both.withColumn("parent", F.last("up", ignorenulls=True).over(last)).filter("k IS NOT NULL")
+        number = F.row_number().over(Window.partitionBy(*stream, "parent", "name").orderBy("start_ns", "line")).cast("string")
+        here = here.withColumn("path", F.concat("parent", F.lit("/"), "name", F.lit("[n="), number, F.lit("]")))
+        known = cut(here.select(*stream, "path", "depth", "start_ns", "line", "end_ns"))
+        out = known if depth == 1 else out.unionByName(known)
+    if not deepest:
+        return pairs.select(*stream, F.col("name").alias("path"), "depth", "start_ns", "end_ns")
+    return out.filter("end_ns IS NOT NULL").drop("line")
+
+
 def spans_of_parents(phases: DataFrame) -> DataFrame:
     """Spans of the paths that only their children time: from the first child's start to the last one's end."""
     return phases.groupBy(F.col("parent").alias("path")).agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
