@@ -64,3 +64,63 @@ def test_finish_times(spark):
     assert {r["id"]: r["finish"] for r in B.finish_times(phases, edges).collect()} == {1: 2.0, 2: 5.0, 3: 6.0, 4: 5.0}
     with pytest.raises(ValueError):
         B.finish_times(phases, spark.createDataFrame([(1, 2), (2, 1)], "id long, after long"))
+
+
+def plain_fit(metrics, phases, overrides, on):
+    """The dense matrix of one kind: a row for each sample, a column for each type and one for overriding variable demand."""
+    types = sorted({p["type"] for p in phases})
+    rows, target = [], []
+    for m in metrics:
+        row, exact = np.zeros(len(types) + 1), 0.0
+        for p in phases:
+            if p[on] != m[on]:
+                continue
+            part = max(0.0, min(m["_end_time"], p["_end_time"]) - max(m["_start_time"], p["_start_time"])) / (m["_end_time"] - m["_start_time"])
+            rule, demand = overrides.get(p["phase"], (None, 0.0))
+            if rule is None:
+                row[types.index(p["type"])] += part
+            elif rule == "variable":
+                row[-1] += part * demand
+            elif rule == "exact":
+                exact += part * demand
+        rows.append(row)
+        target.append(max(0.0, m["usage"] - exact))
+    return types, np.array(rows), np.array(target)
+
+
+def test_best_fit_with_overrides_by_brute_force(spark, sf_dir):
+    from spanweave.plans import catalog, models
+    from spanweave.sources import views as V
+
+    got = catalog.QUERIES["best_fit_overrides"](spark, sf_dir).collect()
+    phases = V.phases(spark, sf_dir).withColumnRenamed("path", "phase")
+    overrides = {r["phase"]: (r["rule"], r["demand"]) for r in models.fit_overrides(phases).collect()}
+    phases, metrics = phases.collect(), V.metrics(spark, sf_dir).collect()
+    assert {r for r, _ in overrides.values()} == {"exact", "variable", "none"}
+    for kind in {m["type"] for m in metrics}:
+        mine = [m for m in metrics if m["type"] == kind]
+        types, a, b = plain_fit(mine, phases, overrides, "user_id")
+        x = A.nnls(a, b)
+        found = {r["type"]: r["demand"] for r in got if r["kind"] == kind and r["phase"] is None}
+        assert found == pytest.approx({t: x[k] for k, t in enumerate(types) if a[:, k].any()}, abs=1e-4)
+        single = {r["phase"]: (r["rule"], r["demand"]) for r in got if r["kind"] == kind and r["phase"] is not None}
+        touched = {p["phase"] for p in phases if p["phase"] in overrides and any(m["user_id"] == p["user_id"] and m["_start_time"] < p["_end_time"] and p["_start_time"] < m["_end_time"] for m in mine)}
+        assert set(single) == touched
+        for phase, (rule, demand) in single.items():
+            assert rule == overrides[phase][0] and demand == pytest.approx(overrides[phase][1] * (x[-1] if rule == "variable" else 1.0), abs=1e-4)
+
+
+def test_exact_demand_over_the_usage_leaves_nothing_to_fit(spark):
+    schema = "_start_time double, _end_time double, h string, "
+    metrics = spark.createDataFrame([(float(i), i + 1.0, "h", "m", "k", [1.0, 9.0][i % 2]) for i in range(10)], schema + "metric string, kind string, usage double")
+    phases = spark.createDataFrame([(0.0, 10.0, "h", "x", "a"), (0.0, 10.0, "h", "y", "b"), (0.0, 10.0, "h", "z", "b")], schema + "phase string, type string")
+    overrides = spark.createDataFrame([("x", "exact", 3.0), ("z", "none", 0.0)], "phase string, rule string, demand double")
+    got = sorted((r["type"] or "", r["phase"] or "", r["rule"], r["demand"]) for r in A.best_fit(metrics, phases, ["h"], "kind", overrides, 4.0).collect())
+    assert got == [("", "x", "exact", 3.0), ("", "z", "none", 0.0), ("b", "", "variable", pytest.approx(3.0))]  # the mean of 0 and 6
+
+
+def test_the_upsampled_curve_is_computed_once(spark, sf_dir):
+    from spanweave.plans import catalog
+
+    plan = catalog.QUERIES["attribute_composite"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -100,3 +100,33 @@ def merge_sums(rows):
         else:
             out.append((k, s, e, total))
     return out
+
+
+def test_buckets_change_no_result(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(float(s), float(s + rnd.randrange(1, 30)), k, float(rnd.randrange(5))) for k in "ab" for s in (rnd.randrange(0, 90) for _ in range(40))]
+    df = spark.createDataFrame(rows, "_start_time double, _end_time double, k string, v double")
+    got = lambda d: sorted(tuple(r[c] for c in sorted(d.columns)) for r in d.collect())
+    total = {"v": F.sum("v"), "n": F.count(F.lit(1))}
+    whole = got(I.temporal_aggregate(df, ["k"], total, merge=False))
+    more = df.filter("k = 'a'").withColumn("k", F.lit("b"))
+    one = df.withColumn("row", F.struct("_start_time", "_end_time", "k", "v")).distinct().withColumn("_duration", F.col("_end_time") - F.col("_start_time"))
+    for width in (1.0, 7.0, 64.0, 1000.0):
+        assert got(I.temporal_aggregate(df, ["k"], total, width, merge=False, seams=False)) == whole
+        assert got(I.temporal_sum(df, ["k"], "v", width)) == got(I.temporal_sum(df, ["k"], "v"))
+        assert got(I.covered_time(df, ["k"], width)) == got(I.covered_time(df, ["k"]))
+        assert got(I.interval_minus(one.drop("v"), more.filter("v > 3"), ["k"], ["row"], width)) == got(I.interval_minus(one.drop("v"), more.filter("v > 3"), ["k"], ["row"]))
+        both = I.running(df.withColumn("t", F.struct("_start_time", "_end_time", "v")), ["k"], ["t"], {"s": "v"}, {"m": "v"}, F.floor(F.col("_start_time") / width))
+        plain = I.running(df.withColumn("t", F.struct("_start_time", "_end_time", "v")), ["k"], ["t"], {"s": "v"}, {"m": "v"})
+        agg = lambda d: got(d.groupBy("k", "_start_time", "_end_time", "v").agg(F.max("s").alias("s"), F.max("m").alias("m")))
+        assert agg(both) == agg(plain)
+
+
+def test_a_series_is_zero_outside_its_samples(spark):
+    df = spark.createDataFrame([(2.0, 4.0, "a", 1.0), (4.0, 5.0, "a", 2.0), (8.0, 20.0, "a", 3.0)], "_start_time double, _end_time double, k string, v double")
+    spans = spark.createDataFrame([(0.0, 10.0, "a"), (0.0, 1.0, "b")], "_start_time double, _end_time double, k string")
+    for width in (None, 3.0):
+        got = sorted((r["k"], r["_start_time"], r["_end_time"], r["v"]) for r in I.covered_from(df, ["k"], "v", spans, width).collect())
+        assert got == [("a", 0.0, 2.0, 0.0), ("a", 2.0, 4.0, 1.0), ("a", 4.0, 5.0, 2.0), ("a", 5.0, 8.0, 0.0), ("a", 8.0, 10.0, 3.0), ("b", 0.0, 1.0, 0.0)]
