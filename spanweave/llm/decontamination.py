@@ -7,7 +7,8 @@ item can stand lies whole in some passage. Items lie in blocks; a passage first
 term's largest weight, then its largest weight in each block, and only blocks whose bound
 reaches the threshold are scored exactly (block-max WAND). All items at or above the threshold are
 retrieved, and kept if enough word triples of both the question (first sentence) and the
-answer (the rest) stand in the passage. A part of under eight words, where one edit would spoil over
+answer (the rest) stand in one window of the passage, of twice the item's own words, so an item's result does not
+depend on how long the longest is. A part of under eight words, where one edit would spoil over
 half of the triples, is held by its pairs, one of under five by its words. Items of under eight
 words are kept only if all their words stand in the passage, one after the other.
 
@@ -71,6 +72,7 @@ class Index:
     most: np.ndarray
     ids: list
     parts: list
+    sizes: list
     span: int
 
 
@@ -123,7 +125,7 @@ def index_parts(items: DataFrame, most_postings: int = MOST_POSTINGS) -> Iterato
     weights = cut(_postings(named)) if n_parts else None
     for part in range(n_parts):
         mine = F.pmod(F.col("item"), F.lit(n_parts)) == part
-        of = named.filter(mine).select("item", "item_id", "text").toPandas().sort_values("item", ignore_index=True)
+        of = named.filter(mine).select("item", "item_id", "text", "n").toPandas().sort_values("item", ignore_index=True)
         post = weights.filter(mine).toPandas()
         post["at"] = np.searchsorted(of["item"].to_numpy(), post["item"].to_numpy())
         terms, code = np.unique(post["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
@@ -134,7 +136,7 @@ def index_parts(items: DataFrame, most_postings: int = MOST_POSTINGS) -> Iterato
         starts = lambda c: np.searchsorted(c, np.arange(len(terms) + 1))  # noqa: E731, B023
         most = np.zeros(len(terms))
         np.maximum.at(most, code, weight)
-        yield Index(pa.array(terms.tolist(), pa.string()), starts(code), item, weight, starts(code[first]), (item // BLOCK)[first], np.maximum.reduceat(weight, first) if len(first) else weight, most, of["item_id"].tolist(), [halves(t) for t in of["text"]], span)
+        yield Index(pa.array(terms.tolist(), pa.string()), starts(code), item, weight, starts(code[first]), (item // BLOCK)[first], np.maximum.reduceat(weight, first) if len(first) else weight, most, of["item_id"].tolist(), [halves(t) for t in of["text"]], of["n"].tolist(), span)
 
 
 def _expand(start: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +186,22 @@ def _stands_in(item: list[str], words: list[str]) -> bool:
     return joined(item) in joined(words)
 
 
+def _best_place(parts: tuple[list[str], list[str]], size: int, words: list[str]) -> tuple[float, float]:
+    """Overlaps of question and answer where both are best: inside windows of twice the item's own words, half overlapping, so that words far apart do not count together.
+
+    Every place where the item can stand lies whole in some window. Only windows with words of the item are looked at.
+    """
+    if len(words) <= 2 * size:
+        return _overlap(parts[0], words), _overlap(parts[1], words)
+    own = set(parts[0]).union(parts[1])
+    held = {k // size for k, w in enumerate(words) if w in own}
+    best = (0.0, 0.0)
+    for k in sorted(held | {k - 1 for k in held if k}):
+        window = words[k * size : (k + 2) * size]
+        best = max(best, (_overlap(parts[0], window), _overlap(parts[1], window)), key=lambda x: (min(x), sum(x)))
+    return best
+
+
 def hits(texts: pa.Array, index: Index, threshold: float, least: float) -> pd.DataFrame:
     """row, item, score, question_overlap, answer_overlap: the items that texts contain, best passage of each."""
     terms, at, counts = terms_of(texts)
@@ -207,7 +225,7 @@ def hits(texts: pa.Array, index: Index, threshold: float, least: float) -> pd.Da
         names = terms.to_pylist() if names is None else names
         low = start[r] + (p - base[r]) * half
         words = [names[x] for x in at[low : min(low + 2 * half, start[r] + counts[r])]]
-        question, answer = (_overlap(part, words) for part in index.parts[i])
+        question, answer = _best_place(index.parts[i], index.sizes[i], words)
         if sum(map(len, index.parts[i])) < LEAST_WORDS and not _stands_in([w for part in index.parts[i] for w in part], words):
             continue
         if question >= least and answer >= least:
