@@ -18,13 +18,17 @@ from ..operators import intervals as I
 from ..sources import views as V
 from .catalog import _CURVE, _SHARES, WIDTH, C, query, r6, times
 
-USER = F.concat(F.lit("/user[id="), C("user_id").cast("string"), F.lit("]"))
+
+def user_path():
+    return F.concat(F.lit("/user[id="), C("user_id").cast("string"), F.lit("]"))
+
+
 SQL_USER = "'/user[id=' || user_id || ']'"
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """phases with the number n in their path and their user's path."""
-    return V.phases(spark, sf_dir).withColumns({"n": F.regexp_extract("path", r"n=(\d+)", 1).cast("long"), "user": USER})
+    return V.phases(spark, sf_dir).withColumns({"n": F.regexp_extract("path", r"n=(\d+)", 1).cast("long"), "user": user_path()})
 
 
 SQL_N = f", numbered AS (SELECT *, regexp_extract(path, 'n=(\\d+)', 1)::BIGINT AS n, {SQL_USER} AS owner FROM phases)"
@@ -400,7 +404,7 @@ def path_patterns(spark, sf_dir):
 @query(f" SELECT DISTINCT {SQL_USER} AS resource, split_part(path, ':', 2) AS metric FROM metrics WHERE starts_with(user_id::VARCHAR, '2') AND split_part(path, ':', 2) LIKE '%e%'")
 def metric_patterns(spark, sf_dir):
     """Metrics that a pattern with a metric's name finds."""
-    m = V.metrics(spark, sf_dir).select(USER.alias("resource"), F.element_at(F.split("path", ":"), -1).alias("metric"))
+    m = V.metrics(spark, sf_dir).select(user_path().alias("resource"), F.element_at(F.split("path", ":"), -1).alias("metric"))
     return H.find_metrics(m, "/user[id=2*]:*e*", m.select(C("resource").alias("path")).distinct())
 
 
