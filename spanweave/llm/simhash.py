@@ -46,6 +46,8 @@ MOST_PER_KEY = 4096
 #: Bands and MinHash values in each; up to so many sets under one key are all paired.
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 16
+#: Up to so many sets under one key, those that are not connected yet are all paired, in chunks of CHUNK.
+ACROSS, CHUNK = 512, 64
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -295,15 +297,17 @@ def verified(pairs: DataFrame, similarity: float, sets_of) -> DataFrame:
     return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS, sets_of=None) -> DataFrame:
+def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS, sets_of=None, across: int = ACROSS) -> DataFrame:
     """a, b: nodes of rows (see shingle_sets) with at least that Jaccard similarity, counted exactly, so that all such sets are connected.
 
     Sets meet under keys: the component of their fingerprints (op10's: Golay keys, three bits), and BANDS
     bands of MinHash values for what the fingerprints of similar sets lie apart. Up to all_pairs sets
-    under a key are all paired. Under a larger key each set meets the first. Sets of keys where that
-    leaves some unconnected meet once more under two neighbouring bands at a time, in the same way. A group of
-    very many sets that are mostly just below the similarity can so lose a link, as comparing all of
-    its pairs grows with the square; all_pairs sets how large a group is compared as a whole.
+    under a key are all paired. Under a larger key each set meets the first. Where that leaves sets of a key
+    unconnected, all pairs of sets that are in different components yet are compared, if the key has up to
+    `across` sets: so no link between components is lost there. Sets of still larger keys
+    meet once more under two neighbouring bands at a time, in the first way. A group of
+    over `across` sets that are mostly just below the similarity can so lose a link, as comparing all of
+    its pairs grows with the square.
     """
     sets_of = sets_of or (lambda asked: marked(rows.select("tag", "shingles"), asked))
     distinct = cut(rows.filter("n > 0").select("tag", "node", "n", "fp", "bands").dropDuplicates(["node"]))
@@ -320,7 +324,11 @@ def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS,
     labels = connected_components(links)
     named = large.select("key", "node", "tag", "n").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     parted = lambda df: df.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key", "size")
-    mixed = cut(named.join(parted(named), "key").drop("size"))
+    sized = cut(named.join(parted(named), "key"))
+    if sized.isEmpty():
+        return links
+    links = links.union(verified(met_pairs(sized.filter(F.col("size") <= across), CHUNK, "label"), similarity, sets_of))
+    mixed = sized.filter(F.col("size") > across).drop("size")
     if mixed.isEmpty():
         return links
     # two neighbouring bands at once

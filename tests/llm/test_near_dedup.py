@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from spanweave.llm import simhash
 
 
@@ -70,3 +72,31 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_judged_by_text(spark):
     without = [t for i, t in kept if i is None]
     assert len(without) == 2 and " ".join(c) in without and len(set(without) & {" ".join(a), near(a, 20)}) == 1
     assert [k for k in kept if k[0] is not None] == sorted([(1, " ".join(d)), (2, " ".join(e)), (3, " ".join(f)), (3, near(b, 9))], key=repr)
+
+
+def dense(seed, bases, copies, words, edits):
+    """Copies of a few bases, each with its own random edits, so that similarities lie around 0.8."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(bases):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(words)]
+        for _ in range(copies):
+            text = list(base)
+            for at in rnd.sample(range(words), edits):
+                text[at] = f"x{rnd.randrange(10**6)}"
+            out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("case", [(1, 3, 60, 200, 3), (2, 1, 200, 100, 2), (3, 2, 90, 120, 2)])
+def test_groups_around_the_similarity_equal_brute_force(spark, case):
+    texts = dense(*case)
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+    assert 1 < len(set(root)) < len(texts)
