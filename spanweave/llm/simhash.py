@@ -47,7 +47,7 @@ MOST_PER_KEY = 4096
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 16
 #: Up to so many sets under one key, those that are not connected yet are all paired, in chunks of CHUNK.
-ACROSS, CHUNK = 512, 64
+ACROSS, CHUNK = 128, 64
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -290,7 +290,8 @@ def verified(pairs: DataFrame, similarity: float, sets_of) -> DataFrame:
     """a, b: the pairs (see met_pairs) whose sets have that Jaccard similarity, counted exactly; sets_of(asked tags) gives their sets."""
     pairs = pairs.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n"))
     pairs = cut(pairs.select("a", "a_tag", "b", "b_tag").distinct())
-    sets = stored(sets_of(pairs.select(F.explode(F.array("a_tag", "b_tag")).alias("tag"))).dropDuplicates(["tag"]))
+    asked = [pairs.select(F.col(c).alias("tag")).distinct() for c in ("a_tag", "b_tag")]
+    sets = stored(sets_of(asked[0].union(asked[1])).dropDuplicates(["tag"]))
     of = lambda tag, name: sets.select(F.col("tag").alias(tag), F.col("shingles").alias(name))
     both = pairs.join(of("a_tag", "x"), "a_tag").join(of("b_tag", "y"), "b_tag")
     common = F.size(F.array_intersect("x", "y"))
