@@ -92,12 +92,12 @@ def find_entries(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.n
     if not n_windows.sum():
         return (np.zeros(0, dtype=np.int64),) * 4
     h = block_hashes(data, (16, 32, 64, 128))
-    bits = max(20, int(len(data)).bit_length())
-    packed = (_mix(h[32]) >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(data), dtype=np.uint64)
+    # 32 bits of hash and 32 of place, whatever the batch's size: equal windows have the same anchor everywhere
+    packed = (_mix(h[32]) >> np.uint64(32) << np.uint64(32)) | np.arange(len(data), dtype=np.uint64)
     least = window_minimum(packed, length - GRAM + 1)
     row = np.repeat(np.arange(len(sizes)), n_windows)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + starts[row]
-    anchor = (least[at] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    anchor = (least[at] & np.uint64((1 << 32) - 1)).astype(np.int64)
     right = anchor - at <= length - GRAM - SIDE
     new = np.r_[True, (anchor[1:] != anchor[:-1]) | (right[1:] != right[:-1]) | (row[1:] != row[:-1])]
     first = np.flatnonzero(new)
