@@ -245,9 +245,9 @@ def tjoin_equi(spark, sf_dir):
     return I.overlap_join(V.metrics(spark, sf_dir), V.phases(spark, sf_dir), ("m", "p"), [("user_id", "user_id")], WIDTH).select(*times3(), "m_path", "p_path", r6("m_usage", "usage"))
 
 
-@query(f"SELECT {_JOINED}, m.path AS m_path, p.path AS p_path FROM metrics m JOIN phases p ON split_part(m.path, ':', 1) = regexp_extract(p.path, '^(.+)[/:][^/:]*$', 1) AND m.s < p.e AND p.s < m.e WHERE m.type = '/user:click'")
+@query(f"SELECT {_JOINED}, m.path AS m_path, p.path AS p_path FROM metrics m JOIN phases p ON split_part(m.path, ':', 1) = regexp_extract(p.path, '^(.+)[/:][^/:]*$', 1) AND m.s < p.e AND p.s < m.e")
 def tjoin_computed_key(spark, sf_dir):
-    m = V.metrics(spark, sf_dir).filter("type = '/user:click'").withColumn("owner", P.parent_of(C("path")))
+    m = V.metrics(spark, sf_dir).withColumn("owner", P.parent_of(C("path")))
     p = V.phases(spark, sf_dir).withColumn("owner", P.parent_of(C("path")))
     return I.overlap_join(m, p, ("m", "p"), [("owner", "owner")], WIDTH).select(*times3(), "m_path", "p_path")
 
@@ -365,11 +365,11 @@ def series_sum(spark, sf_dir):
   SELECT m.path, m.s AS ms, greatest(m.s, t.t) AS s, least(m.e, t.u) AS e FROM metrics m JOIN (
     SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS u FROM (SELECT user_id, s AS t FROM gone UNION SELECT user_id, e FROM gone UNION SELECT user_id, -1 FROM metrics UNION SELECT user_id, 1e12 FROM metrics)
   ) t ON m.user_id = t.user_id AND t.t < m.e AND t.u > m.s
-  WHERE m.type = '/user:click' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = m.user_id AND g.s <= t.t AND g.e >= t.u))
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = m.user_id AND g.s <= t.t AND g.e >= t.u))
 SELECT path, round(s, 6) AS start_time, round(e, 6) AS end_time FROM pieces WHERE s < e"""
 )
 def interval_minus(spark, sf_dir):
-    m, p = V.metrics(spark, sf_dir).filter("type = '/user:click'"), V.phases(spark, sf_dir).filter("type = '/user/error'")
+    m, p = V.metrics(spark, sf_dir), V.phases(spark, sf_dir).filter("type = '/user/error'")
     m = m.withColumn("_row", F.struct("path", "_start_time"))
     return I.interval_minus(m, p, ["user_id"], ["_row"], WIDTH).select("path", *times())
 
@@ -581,4 +581,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagg_after_tjoin(spark, sf_dir)
 
 
-from . import models  # noqa: E402, F401  registers its queries
+from . import exports, models  # noqa: E402, F401  register their queries

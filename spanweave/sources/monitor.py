@@ -47,6 +47,10 @@ class Stream:
                 return value
             shift += 7
 
+    def signed(self) -> int:
+        value = self.number()
+        return -(value >> 1) if value & 1 else value >> 1
+
     def name(self) -> str:
         end = self.data.find(b"\0", self.at)
         if end < 0:
@@ -135,8 +139,33 @@ def decode_gpu(data: bytes) -> list[tuple]:
         return rows
 
 
+def decode_memory(data: bytes) -> list[tuple]:
+    """Bytes of memory in use, free and available, and of swap space in use; the first sample has no interval.
+
+    Totals come before the samples that they hold for. Samples are differences in KiB to the sample before, the first one to zero.
+    """
+    s, rows, before, mem, swap = Stream(data), [], None, 0, 0
+    try:
+        used = free = available = swap_free = 0
+        while True:
+            now, kind = s.time(), s.byte()
+            if kind == 0:
+                if s.at + 16 > len(data):
+                    raise EOFError
+                mem, swap = struct.unpack_from("<QQ", data, s.at)
+                s.at += 16
+                continue
+            used, free, available, swap_free = (x + s.signed() for x in (used, free, available, swap_free))
+            if before is not None:
+                values = (("memory:used", used, mem), ("memory:free", free, mem), ("memory:available", available, mem), ("swap:used", swap - swap_free, swap))
+                rows += [(before, now, name, value * 1024.0, total * 1024.0) for name, value, total in values]
+            before = now
+    except EOFError:
+        return rows
+
+
 #: Kinds of trace by the prefix of their file names.
-DECODERS = {"proc-stat-": decode_stat, "proc-net-dev-": decode_network, "proc-diskstats-": decode_disk, "nvml-": decode_gpu}
+DECODERS = {"proc-stat-": decode_stat, "proc-net-dev-": decode_network, "proc-diskstats-": decode_disk, "nvml-": decode_gpu, "proc-meminfo-": decode_memory}
 
 
 def read_traces(spark: SparkSession, place: str) -> DataFrame:
