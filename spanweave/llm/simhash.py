@@ -46,8 +46,10 @@ MOST_PER_KEY = 4096
 #: Bands and MinHash values in each; up to so many sets under one key are all paired.
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 16
-#: Up to so many sets under one key, those that are not connected yet are all paired, in chunks of CHUNK.
-ACROSS, CHUNK = 128, 64
+#: Sets, and shingles in them, of a chunk; sets of a larger key that are not connected yet are all compared, chunk by chunk.
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
+#: Columns of the matrices of shingles that are multiplied at once.
+COLUMNS = 4096
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -270,20 +272,65 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return keys
 
 
-def met_pairs(members: DataFrame, chunk: int, differ: str | None = None) -> DataFrame:
-    """a, a_tag, b, b_tag (a < b): all pairs of the members (key, size, node, tag, n) of each key, with different values of the column differ.
+def met_pairs(members: DataFrame) -> DataFrame:
+    """a, a_tag, a_n, b, b_tag, b_n (a < b): all pairs of the members (key, node, tag, n) of each key; keys have few."""
+    grouped = members.groupBy("key").agg(F.collect_set(F.struct("node", "tag", "n")).alias("all"))
+    with_x = grouped.filter(F.size("all") > 1).select("all", F.explode("all").alias("x"))
+    y = F.explode(F.filter("all", lambda y: y["node"] > F.col("x.node")))
+    return with_x.select("x", y.alias("y")).select(F.col("x.node").alias("a"), F.col("x.tag").alias("a_tag"), F.col("x.n").alias("a_n"), F.col("y.node").alias("b"), F.col("y.tag").alias("b_tag"), F.col("y.n").alias("b_n"))
+
 
-    A key's members are dealt to chunks, and each pair of chunks is a row of its own, so no row holds
-    more than two chunks whatever the key's size.
+def common_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the rows' sets has in common with each of the columns'."""
+    tokens, at = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(x) for x in (*rows, *columns)])
+    mine = owner < len(rows)
+    both = (np.bincount(at[mine], minlength=len(tokens)) > 0) & (np.bincount(at[~mine], minlength=len(tokens)) > 0)
+    rank = np.cumsum(both) - 1
+    owner, at = owner[both[at]], rank[at[both[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    found = np.zeros((len(rows), len(columns)), dtype=np.int64)
+    for low in range(0, int(both.sum()), COLUMNS):
+        begin, end = np.searchsorted(at, (low, low + COLUMNS))
+        held = np.zeros((len(rows) + len(columns), COLUMNS), dtype=np.float32)
+        held[owner[begin:end], at[begin:end] - low] = 1
+        found += (held[: len(rows)] @ held[len(rows) :].T).astype(np.int64)
+    return found
+
+
+def across(members: DataFrame, similarity: float, sets_of) -> DataFrame:
+    """a, b: links that connect all members (key, node, tag, n, label) of a key whose sets are similar and whose labels differ.
+
+    All members are rows of a table and those without the key's most frequent label its columns. Tasks take rectangles of it, with the
+    sets of its sides, count what each row has in common with each column, and leave one link for each set.
     """
-    last = F.ceil(F.col("size") / chunk).cast("int") - 1
-    own = F.pmod(F.xxhash64("node"), last + 1).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    me = F.struct("node", "tag", "n", "own", (F.col(differ) if differ else F.col("node")).alias("kind"))
-    grouped = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_set(me).alias("all"))
-    with_x = grouped.filter(F.size("all") > 1).select("all", "low", "high", F.explode("all").alias("x"))
-    y = F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["kind"] != F.col("x.kind")) & ((F.col("low") == F.col("high")) | (y["own"] != F.col("x.own")))))
-    return with_x.select("x", y.alias("y")).select(F.col("x.node").alias("a"), F.col("x.tag").alias("a_tag"), F.col("x.n").alias("a_n"), F.col("y.node").alias("b"), F.col("y.tag").alias("b_tag"), F.col("y.n").alias("b_n"))
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    whole = F.struct(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"))
+    most = parts.groupBy("key").agg(whole.alias("all"), F.max(F.struct("sets", "label", "shingles")).alias("main")).filter("all.sets > main.sets")
+    chunks = lambda sets, shingles: F.ceil(F.greatest(sets / CHUNK, shingles / CHUNK_SHINGLES)).cast("int")
+    col = F.col
+    most = cut(most.select("key", col("main.label").alias("main"), chunks(col("all.sets"), col("all.shingles")).alias("rows"), chunks(col("all.sets") - col("main.sets"), col("all.shingles") - col("main.shingles")).alias("columns")))
+    members = cut(members.join(most, "key"))
+    sets = stored(sets_of(members.select("tag").distinct()).dropDuplicates(["tag"]))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), col(n) - 1))
+    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), col(n)).cast("int")
+    rows = members.select("key", "node", "tag", "label", F.lit(True).alias("row"), dealt("rows", 1).alias("i"), upto("columns").alias("j"))
+    columns = members.filter("label <> main").select("key", "node", "tag", "label", F.lit(False).alias("row"), upto("rows").alias("i"), dealt("columns", 2).alias("j"))
+
+    def link(pdf):
+        mine = pdf["row"].to_numpy(dtype=bool)
+        (a, x), (b, y) = ((part["node"].to_numpy(), part["label"].to_numpy()) for part in (pdf[mine], pdf[~mine]))
+        left, right = ([np.asarray(s) for s in part] for part in (pdf["shingles"][mine], pdf["shingles"][~mine]))
+        if not left or not right:
+            return pd.DataFrame({"a": a[:0], "b": a[:0]})
+        common = common_counts(left, right)
+        total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])
+        i, j = np.nonzero((common >= similarity * (total - common)) & (x[:, None] != y))
+        nodes, roots = forest(a[i], b[j])
+        return pd.DataFrame({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
+
+    return cut(rows.union(columns).join(sets, "tag").groupBy("key", "i", "j").applyInPandas(link, "a long, b long"))
 
 
 def verified(pairs: DataFrame, similarity: float, sets_of) -> DataFrame:
@@ -298,17 +345,13 @@ def verified(pairs: DataFrame, similarity: float, sets_of) -> DataFrame:
     return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS, sets_of=None, across: int = ACROSS) -> DataFrame:
-    """a, b: nodes of rows (see shingle_sets) with at least that Jaccard similarity, counted exactly, so that all such sets are connected.
+def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS, sets_of=None) -> DataFrame:
+    """a, b: links between nodes of rows (see shingle_sets), so that all sets with at least that Jaccard similarity, counted exactly, are connected.
 
     Sets meet under keys: the component of their fingerprints (op10's: Golay keys, three bits), and BANDS
     bands of MinHash values for what the fingerprints of similar sets lie apart. Up to all_pairs sets
     under a key are all paired. Under a larger key each set meets the first. Where that leaves sets of a key
-    unconnected, all pairs of sets that are in different components yet are compared, if the key has up to
-    `across` sets: so no link between components is lost there. Sets of still larger keys
-    meet once more under two neighbouring bands at a time, in the first way. A group of
-    over `across` sets that are mostly just below the similarity can so lose a link, as comparing all of
-    its pairs grows with the square.
+    unconnected, all pairs of sets that are in different components yet are compared, whatever the key's size.
     """
     sets_of = sets_of or (lambda asked: marked(rows.select("tag", "shingles"), asked))
     distinct = cut(rows.filter("n > 0").select("tag", "node", "n", "fp", "bands").dropDuplicates(["node"]))
@@ -319,28 +362,14 @@ def similar_sets(rows: DataFrame, similarity: float, all_pairs: int = ALL_PAIRS,
     members = cut(keyed.join(met, "key"))
     large = members.filter(F.col("size") > all_pairs)
     star = large.filter("node <> first.node").select(*star_columns())
-    links = verified(met_pairs(members.filter(F.col("size") <= all_pairs), all_pairs).union(star), similarity, sets_of)
+    links = verified(met_pairs(members.filter(F.col("size") <= all_pairs)).union(star), similarity, sets_of)
     if large.isEmpty():
         return links
     labels = connected_components(links)
     named = large.select("key", "node", "tag", "n").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    parted = lambda df: df.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key", "size")
-    sized = cut(named.join(parted(named), "key"))
-    if sized.isEmpty():
-        return links
-    links = links.union(verified(met_pairs(sized.filter(F.col("size") <= across), CHUNK, "label"), similarity, sets_of))
-    mixed = sized.filter(F.col("size") > across).drop("size")
-    if mixed.isEmpty():
-        return links
-    # two neighbouring bands at once
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", (i + 1) % BANDS))))
-    finer = stored(mixed.select("node", "tag", "n", "label").distinct().join(distinct.select("node", "bands"), "node").select(pairs.alias("key"), "node", "tag", "n", "label"))
-    sizes = cut(parted(finer))
-    finer = finer.join(sizes, "key")
-    first = finer.filter(F.col("size") > all_pairs).groupBy("key").agg(F.min(F.struct("node", "tag", "n", "label")).alias("first"))
-    rest = finer.filter(F.col("size") > all_pairs).join(first, "key").filter("label <> first.label")
-    few = met_pairs(finer.filter(F.col("size") <= all_pairs), all_pairs, "label")
-    return links.union(verified(few.union(rest.select(*star_columns())), similarity, sets_of))
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    mixed = cut(named.join(mixed, "key"))
+    return links if mixed.isEmpty() else links.union(across(mixed, similarity, sets_of))
 
 
 def star_columns() -> list:

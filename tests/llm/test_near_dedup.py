@@ -100,3 +100,17 @@ def test_groups_around_the_similarity_equal_brute_force(spark, case):
     kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
     assert 1 < len(set(root)) < len(texts)
+
+
+def test_large_keys_lose_no_link(spark):
+    """600 sets that meet under common keys and mostly lie just below the similarity: removals equal brute force."""
+    texts = dense(4, 1, 600, 100, 2)
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+    assert 1 < len(set(root)) < len(texts)
