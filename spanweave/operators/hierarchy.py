@@ -7,15 +7,16 @@ followed by an aggregate, and what goes up level by level takes as many rounds a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.patterns import compile_pattern, metric_regex
-from ..functions.session import cut
+from ..functions.session import stored
 from .bottlenecks import GLOBAL, LOCAL, NONE
-from .intervals import END, START, coalesce_intervals, covered_time, interval_minus, overlap_join, temporal_aggregate
+from .intervals import DURATION, END, START, coalesce_intervals, covered_time, interval_minus, overlap_join, temporal_aggregate, temporal_state, with_duration
 
 
 def lineage(path: Column) -> Column:
@@ -106,9 +107,10 @@ class Predicate:
     outer: str | None = None
 
 
-def _combined(rule: str, n: Column, hits: Column, worst: Column) -> Column:
+def _combined(rule: str, n: Column, hits: Column, high: Column) -> Column:
+    """The severity of n members of which hits are bottlenecks and high are GLOBAL ones."""
     holds = {"any": hits > 0, "all": hits == n, "majority": (hits > 0) & (2 * hits >= n)}[rule]
-    return F.when(holds, worst).otherwise(NONE)
+    return F.when(holds, F.when(high > 0, 2).otherwise(1)).otherwise(0)
 
 
 def _by_rule(rules: dict, default, choose: Column, value) -> Column:
@@ -132,42 +134,45 @@ def fold_statuses(leaves: DataFrame, keys: list[str], default: Predicate, rules:
 
     The tree is folded bottom up, one round for each of its depths: a parent's status in a slice comes from the statuses
     that its children have in it, leaves and folded ones alike, by the predicate for the parent's type. Where no child
-    is active there is no row.
+    is active there is no row. Children are counted through the changes at their ends, so work grows with their number. The
+    leaves are computed once and kept without their own paths; each level is kept, as the next one and the result read it.
     """
     rules = rules or {}
-    depth = F.size(P.ancestors_of(F.col("path")))
-    rows = leaves.select(START, END, "path", *keys, "status")
-    deepest = rows.agg(F.max(depth)).first()[0] or 0
-    severity = F.create_map(*[F.lit(x) for pair in _SEVERITY.items() for x in pair])
+    by_type = any(r.outer is not None for r in (default, *rules.values()))
+    severity = F.coalesce(F.create_map(*[F.lit(x) for pair in _SEVERITY.items() for x in pair])[F.col("status")], F.lit(0))
     names = F.array(*[F.lit(s) for s in _SEVERITY])
+    kind = parent_type(F.col("path"))
+    n, hits, high = F.col("_n"), F.col("_hits"), F.col("_high")
+    flat = lambda r: _combined(r.inner, n, hits, high)
+
+    def children(rows: DataFrame) -> DataFrame:
+        """rows under their parents' paths. A leaf's own path is not needed any more."""
+        own = {"path": P.nearest_above(F.col("path")), "_type": type_of(F.col("path")), "_sev": severity.cast("byte")}
+        return rows.filter(F.col(START) < F.col(END)).withColumns(own).select("path", *keys, *(["_type"] if by_type else []), "_sev", START, END)
+
+    def folded(rows: DataFrame) -> DataFrame:
+        """path, keys, interval and severity of the parents of children."""
+        counted = rows.withColumns({"_n": F.lit(1), "_hits": (F.col("_sev") > 0).cast("int"), "_high": (F.col("_sev") > 1).cast("int")})
+        if not by_type:
+            return temporal_state(counted, ["path", *keys], ["_n", "_hits", "_high"], _by_rule(rules, default, kind, flat), bucket)
+        # Over all children the types' counts add up; by type each type is one member.
+        cells = temporal_state(counted, ["path", "_type", *keys], ["_n", "_hits", "_high"], F.struct("_n", "_hits", "_high", _by_rule(rules, default, kind, flat).alias("_tsev")), bucket)
+        cells = stored(cells.select("path", *keys, START, END, F.lit(1).alias("_tn"), "state._n", "state._hits", "state._high", (F.col("state._tsev") > 0).cast("int").alias("_thits"), (F.col("state._tsev") > 1).cast("int").alias("_thigh")))
+        rule = _by_rule(rules, default, kind, lambda r: flat(r) if r.outer is None else _combined(r.outer, F.col("_tn"), F.col("_thits"), F.col("_thigh")))
+        return temporal_state(cells, ["path", *keys], ["_tn", "_n", "_hits", "_high", "_thits", "_thigh"], rule, bucket)
+
+    depth = P.depth_of(F.col("path"))
+    rows = stored(children(leaves.filter(depth > 0)).withColumn("_depth", depth))
+    depths = {r["_depth"] for r in rows.select("_depth").distinct().collect()}  # as many as the tree is deep
     levels, below = [], None
-    for level in range(deepest, 0, -1):
-        here = rows.filter(depth == level)
-        children = here if below is None else here.unionByName(below.select(*here.columns))
-        parent = F.element_at(P.ancestors_of(F.col("path")), -1)
-        children = children.withColumns({"_parent": parent, "_type": type_of(F.col("path")), "_sev": severity[F.col("status")]})
-        kind = parent_type(F.col("_parent"))
-        n, hits, worst = F.count(F.lit(1)), F.count_if(F.col("_sev") > 0), F.max("_sev")
-        status_of = lambda p, n, hits, worst: _combined(p, n, hits, F.get(names, worst))
-        sums, flat = {"_n": n, "_hits": hits, "_worst": worst}, lambda r: status_of(r.inner, F.col("_n"), F.col("_hits"), F.col("_worst"))
-        if all(r.outer is None for r in (default, *rules.values())):
-            whole = temporal_aggregate(children, ["_parent", *keys], sums, bucket, merge=False)
-            status = _by_rule(rules, default, kind, flat)
-        else:  # over all children the types' counts add up; by type each type is one member
-            cells = temporal_aggregate(children, ["_parent", "_type", *keys], sums, bucket, merge=False)
-            of_type = cells.withColumn("_tsev", severity[_by_rule(rules, default, kind, flat)])
-            sums = {"_n": F.sum("_n"), "_hits": F.sum("_hits"), "_worst": F.max("_worst"), "_tn": F.count(F.lit(1)), "_thits": F.count_if(F.col("_tsev") > 0), "_tworst": F.max("_tsev")}
-            whole = temporal_aggregate(of_type, ["_parent", *keys], sums, bucket, merge=False)
-            status = _by_rule(rules, default, kind, lambda r: flat(r) if r.outer is None else status_of(r.outer, F.col("_tn"), F.col("_thits"), F.col("_tworst")))
-        folded = whole.withColumn("status", status).withColumnRenamed("_parent", "path")
-        below = cut(coalesce_intervals(folded, ["path", *keys], ["status"], bucket))
+    for level in range(max(depths, default=-1), -1, -1):
+        here = [rows.filter(F.col("_depth") == level).drop("_depth")] if level in depths else []
+        below = stored(folded(reduce(DataFrame.unionByName, here + ([] if below is None else [children(below)]))).withColumn("status", F.get(names, F.col("state"))).drop("state"))
         levels.append(below)
     if not levels:
-        return coalesce_intervals(rows.limit(0), ["path", *keys], ["status"])
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+        return coalesce_intervals(leaves.limit(0), ["path", *keys], ["status"])
+    out = with_duration(reduce(DataFrame.unionByName, levels))
+    return out.select(START, END, DURATION, "path", *keys, "status")
 
 
 # Blocked time

@@ -248,7 +248,7 @@ def fold_majority(spark, sf_dir):
 @query(_sql_fold(["any", "all", "majority", "any", "all"]), views=False)
 def fold_per_parent(spark, sf_dir):
     """A predicate for each kind of parent: here by its depth."""
-    depth = lambda path: F.size(P.ancestors_of(path)).cast("string")
+    depth = lambda path: P.depth_of(path).cast("string")
     rules = {"0": H.Predicate("any"), "1": H.Predicate("all"), "3": H.Predicate("any"), "4": H.Predicate("all")}
     return H.fold_statuses(_line_statuses(spark, sf_dir), [], H.Predicate("majority"), rules, DAYS, depth).select("path", *times(), "status")
 
