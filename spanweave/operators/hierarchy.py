@@ -114,11 +114,11 @@ def _combined(rule: str, n: Column, hits: Column, high: Column) -> Column:
 
 
 def _by_rule(rules: dict, default, choose: Column, value) -> Column:
-    """value(rule) for the rule that choose (a parent's type) names."""
-    out = None
-    for name, rule in rules.items():
-        out = F.when(choose == name, value(rule)) if out is None else out.when(choose == name, value(rule))
-    return value(default) if out is None else out.otherwise(value(default))
+    """value(rule) for the rule that choose (a parent's type) names; choose is computed once."""
+    if not rules:
+        return value(default)
+    place = F.create_map(*[F.lit(x) for pair in zip(rules, range(len(rules))) for x in pair])[choose]
+    return F.get(F.array(*[value(rule) for rule in (*rules.values(), default)]), F.coalesce(place, F.lit(len(rules))))
 
 
 _SEVERITY = {NONE: 0, LOCAL: 1, GLOBAL: 2}
