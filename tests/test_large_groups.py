@@ -44,3 +44,35 @@ def test_runs_of_state_however_groups_are_dealt_out(spark, monkeypatch, large):
     found = I.temporal_state(df, ["k"], ["n", "v"], F.struct((F.col("n") % 3).alias("n"), (F.col("v") > 4).alias("v")), 7.0)
     assert sorted((r["_start_time"], r["_end_time"], r["k"], tuple(r["state"])) for r in found.collect()) == sorted(want)
     assert found.filter("false").count() == 0 and I.temporal_state(df.limit(0), ["k"], ["n"], F.col("n"), 7.0).count() == 0
+
+
+def test_aggregates_over_rows_that_overlap_in_linear_work(spark):
+    """As for folds, each slice met each active row before."""
+    n = 800
+    df = spark.createDataFrame([(float(i), float(n + i), float(i * 7 % 11)) for i in range(n)], "_start_time double, _end_time double, v double")
+    out = []
+    run = lambda: out.extend(got(I.temporal_aggregate(df, [], {"n": F.count(F.lit(1)), "most": F.max("v")}, 400.0, combine={"n": F.sum, "most": F.max})))
+    assert most_rows(spark, run) < 30 * n
+    assert len(out) == 2 * n - 1 and max(r[-1] for r in out) == n
+
+
+@pytest.mark.parametrize("width", [3.0, 17.0, 100.0])
+def test_aggregates_put_together_from_parts_equal_those_over_all_rows(spark, width):
+    rnd = random.Random(2)
+    rows = [(float(s), float(s + rnd.randrange(0, 30)), k, rnd.randrange(9)) for k in "ab" for s in (rnd.randrange(-20, 60) for _ in range(40))]
+    df = spark.createDataFrame(rows, "_start_time double, _end_time double, k string, v long")
+    asked = {"n": F.count(F.lit(1)), "least": F.min("v"), "total": F.sum("v")}
+    whole = {"n": F.sum, "least": F.min, "total": F.sum}
+    for keys in ([], ["k"]):
+        for merge, seams in ((True, True), (False, True), (False, False)):
+            assert got(I.temporal_aggregate(df, keys, asked, width, merge, seams, whole)) == got(I.temporal_aggregate(df, keys, asked, width, merge, seams))
+    assert I.temporal_aggregate(df.limit(0), [], asked, width, combine=whole).count() == 0
+
+
+def test_ancestors_are_blocked_in_linear_work(spark):
+    """The root met all blocked phases in each slice before."""
+    n = 800
+    df = spark.createDataFrame([(float(i), float(n + i), f"/u{i}/x") for i in range(n)], "_start_time double, _end_time double, path string")
+    out = []
+    assert most_rows(spark, lambda: out.extend(got(H.blocked_above(df, 400.0)))) < 8 * n
+    assert (2.0 * n - 1, 2.0 * n - 1, 0.0, "/") in out and len(out) == n + 1
