@@ -16,7 +16,7 @@ from ..functions import paths as P
 from ..functions.patterns import compile_pattern, metric_regex
 from ..functions.session import stored
 from .bottlenecks import GLOBAL, LOCAL, NONE
-from .intervals import DURATION, END, START, coalesce_intervals, covered_time, interval_minus, overlap_join, temporal_aggregate, temporal_state, with_duration
+from .intervals import DURATION, END, START, coalesce_intervals, covered_time, interval_minus, overlap_join, temporal_state, with_duration
 
 
 def lineage(path: Column) -> Column:
@@ -191,8 +191,9 @@ def blocked_time(phases: DataFrame, blocking: DataFrame, on: list[str], keep: li
 
 def blocked_above(blocked: DataFrame, bucket: float | None = None) -> DataFrame:
     """path and interval of every ancestor's blocked time: a composite is blocked while one of its leaves (path, interval) is."""
-    up = blocked.select(START, END, F.explode(P.ancestors_of(F.col("path"))).alias("path"))
-    return coalesce_intervals(temporal_aggregate(up, ["path"], {"_n": F.lit(1)}, bucket, merge=False).drop("_n"), ["path"], [], bucket)
+    blocked = stored(blocked.select(START, END, "path"))
+    up = blocked.select(START, END, F.explode(P.ancestors_of(F.col("path"))).alias("path"), F.lit(1).alias("_n"))
+    return with_duration(temporal_state(up, ["path"], ["_n"], F.lit(1), bucket)).select(START, END, DURATION, "path")
 
 
 # Nodes by pattern
