@@ -54,8 +54,7 @@ def durations(rows: DataFrame, slice_of: list[str], cause: str, by: list[str], n
 
     slice_of names one slice of one phase; a row is the status of one cause in it.
     """
-    total = rows.groupBy(*slice_of).agg(F.count_if(F.col(name) != NONE).alias("n_causes"))
-    joined = rows.join(total, slice_of)
+    joined = rows.withColumn("n_causes", F.count_if(F.col(name) != NONE).over(Window.partitionBy(*slice_of)))
     here = F.col(name) != NONE
     time = lambda c: F.sum(F.when(c, F.col(DURATION)).otherwise(0.0))
     return joined.groupBy(*by, cause).agg(time(here).alias("bottlenecked"), time(here & (F.col("n_causes") == 1)).alias("uniquely"), time(~here).alias("free"))
