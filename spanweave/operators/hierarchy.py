@@ -86,10 +86,14 @@ def inherited(nodes: DataFrame, metadata: DataFrame, names: list[str], aliases:
     if aliases is not None:
         named = aliases.select(F.col("alias").alias("value"), "canonical")
         values = values.join(named, "value", "left").withColumn("value", F.coalesce("canonical", "value")).drop("canonical")
-    up = _above(nodes.select("path").distinct(), "path").join(values, "_up", "left")
-    nearest = [F.max_by("value", F.when((F.col("name") == n) & F.col("value").isNotNull(), F.col("_depth"))).alias(f"_{k}") for k, n in enumerate(names)]
-    found = up.groupBy("path").agg(*nearest)
-    return found.select("path", F.array(*[F.col(f"_{k}") for k in range(len(names))]).alias("mapped"))
+    columns = [f"_{k}" for k in range(len(names))]
+    own = values.groupBy("_up").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(c) for c, n in zip(columns, names)])
+    nodes = nodes.select("path").distinct().withColumn("_parent", P.nearest_above(F.col("path")))
+    # Parents are few beside nodes, so only their lineages are walked.
+    up = _above(nodes.select(F.col("_parent").alias("path")).filter("path is not null").distinct(), "path").join(own, "_up")
+    above = up.groupBy(F.col("path").alias("_parent")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_depth"))).alias(f"{c}_up") for c in columns])
+    found = nodes.join(own.withColumnRenamed("_up", "path"), "path", "left").join(above, "_parent", "left")
+    return found.select("path", F.array(*[F.coalesce(c, f"{c}_up") for c in columns]).alias("mapped"))
 
 
 # Folds from the leaves up

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.session import cut
+from ..functions.session import cut, stored
 from ..operators import attribution as A
 from ..operators import bottlenecks as B
 from ..operators import graphs as G
@@ -124,12 +124,10 @@ _MAPPED_SQL = _CURVE.replace("m.s < p.e AND p.s < m.e JOIN rules", f"m.s < p.e A
 def attribute_mapped(spark, sf_dir):
     """Attribution only between phases and metrics whose inherited metadata agrees."""
     found, p, m = _inherited(spark, sf_dir)
-    found = cut(found)
-    m = m.withColumn("metric", C("path")).join(found, "path")
-    p = p.withColumn("phase", C("path")).join(found, "path")
-    rules = V.rules(spark)
-    curve = A.demand_curve(m, p, rules, ["user_id"], WIDTH, "mapped")
-    out = A.attribute(cut(A.upsample(curve, ["user_id", "mapped"])), p, rules, ["user_id"], WIDTH, "mapped")
+    found = stored(found)
+    m = stored(m.withColumn("metric", C("path")).join(found, "path"))
+    p = stored(p.select("_start_time", "_end_time", "_duration", "path", "type", "user_id").withColumn("phase", C("path")).join(found, "path").drop("path"))
+    out = A.attributed(m, p, V.rules(spark), ["user_id"], WIDTH, "mapped")
     return out.select("metric", "phase", *times(), r6("usage"), r6("capacity"))
 
 
@@ -137,6 +135,9 @@ def attribute_mapped(spark, sf_dir):
 
 _BLOCKING = "type = '/user:error' AND usage > 100"
 
+#: The type of blocked pieces of phases, which demand nothing.
+BLOCKED = "blocked"
+
 
 def _blocked(spark, sf_dir):
     """Phases that large errors of their user block (clicks and views), those that nothing blocks, the blocking intervals, and metrics."""
@@ -183,16 +184,15 @@ UNION ALL SELECT metric, phase, round(s, 6), round(e, 6), 'NONE' FROM idle UNION
 def bottleneck_blocked(spark, sf_dir):
     """Statuses where phases may be blocked: a blocked phase demands nothing, is no bottleneck of what it would use, and one of what blocks it."""
     held, free, blocking, m = _blocked(spark, sf_dir)
-    active = cut(H.active_time(held, blocking, ["user_id"], ["path"], WIDTH).unionByName(free))
+    active = stored(H.active_time(held, blocking, ["user_id"], ["path"], WIDTH).unionByName(free).drop("path"))
     blocked = H.blocked_time(held, blocking, ["user_id"], ["path", "phase", "user_id"], WIDTH)
-    blocked = cut(I.coalesce_intervals(blocked, ["path", "phase", "user_id"], [], WIDTH))
-    rules = V.rules(spark)
-    curve = cut(A.upsample(A.demand_curve(m, active, rules, ["user_id"], WIDTH), ["user_id"]))
-    busy = A.attribute(curve, active, rules, ["user_id"], WIDTH).withColumn("status", B.status(C("usage"), C("capacity"), C("sampled"), C("most")))
-    idle = I.overlap_join(curve, blocked, ("m", "p"), [("user_id", "user_id")], WIDTH)
-    columns = lambda df, metric, phase, status: df.select(metric.alias("metric"), phase.alias("phase"), *times(), status.alias("status"))
-    found = columns(busy, C("metric"), C("phase"), C("status")).unionByName(columns(idle, C("m_metric"), C("p_phase"), F.lit(B.NONE)))
-    return found.unionByName(columns(blocked, F.lit("blocked"), C("phase"), F.lit(B.GLOBAL)))
+    blocked = stored(I.coalesce_intervals(blocked, ["path", "phase", "user_id"], [], WIDTH))
+    idle = blocked.select("_start_time", "_end_time", "_duration", "phase", F.lit(BLOCKED).alias("type"), "user_id")
+    rules = V.rules(spark).unionByName(spark.createDataFrame([(BLOCKED, "none", 0.0)], "type string, rule string, demand double"))
+    met = A.attributed(m, active, rules, ["user_id"], WIDTH, idle=idle)
+    columns = lambda df, metric, status: df.select(metric.alias("metric"), "phase", *times(), status.alias("status"))
+    found = columns(met, C("metric"), F.when(C("type") == BLOCKED, B.NONE).otherwise(B.status(C("usage"), C("capacity"), C("sampled"), C("most"))))
+    return found.unionByName(columns(blocked, F.lit("blocked"), F.lit(B.GLOBAL)))
 
 
 @query(
