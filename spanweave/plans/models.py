@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.session import cut, stored
+from ..functions.session import stored
 from ..operators import attribution as A
 from ..operators import bottlenecks as B
 from ..operators import graphs as G
@@ -275,12 +275,12 @@ def best_fit_overrides(spark, sf_dir):
 
 
 def _orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Order lines (group: the customer, node, order, type, duration in days) and the orders' dependencies (group, after, node)."""
+    """Order lines (group: the customer, order, type, duration in days) and the orders' dependencies (group, after, node)."""
     s = V.shipments(spark, sf_dir)
     order = P.parent_of(C("path"))
-    lines = s.select(P.parent_of(order).alias("group"), order.alias("order"), C("path").alias("node"), F.when(C("quantity") >= 25, "bulk").otherwise("small").alias("type"), C("_duration").alias("duration"), "_start_time", "_end_time")
+    lines = stored(s.select(P.parent_of(order).alias("group"), order.alias("order"), F.when(C("quantity") >= 25, "bulk").otherwise("small").alias("type"), C("_duration").alias("duration"), "_start_time", "_end_time"))
     spans = lines.groupBy("group", C("order").alias("node")).agg(F.min("_start_time").alias("start"), F.max("_end_time").alias("end"))
-    return lines, cut(G.direct_predecessors(spans, width=DAYS))
+    return lines, stored(G.direct_predecessors(spans, width=DAYS))
 
 
 SQL_ORDERS = """
@@ -325,10 +325,7 @@ SELECT c.grp AS customer, c.kind AS type, c.n::DOUBLE AS n, round(m.f, 6) AS mea
 def imbalance_siblings(spark, sf_dir):
     """What balance among interchangeable lines would save a customer: those of one type in one order, as they wait for the same lines."""
     lines, edges = _orders(spark, sf_dir)
-    before = lines.select("group", C("order").alias("after_order"), C("node").alias("after"))
-    then = lines.select("group", "order", "node")
-    pairs = edges.select("group", C("after").alias("after_order"), C("node").alias("order")).join(before, ["group", "after_order"]).join(then, ["group", "order"])
-    out = G.imbalance_impact(lines, pairs.select("group", "after", "node"), "order")
+    out = G.imbalance_impact(lines, edges, "order", "order")
     return out.select(C("group").alias("customer"), "type", C("n").cast("double").alias("n"), r6("measured"), r6("balanced"), (F.round("impact", 6) + F.lit(0.0)).alias("impact"))
 
 

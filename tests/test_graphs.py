@@ -99,3 +99,29 @@ def test_model_violations(spark):
     assert sorted(map(tuple, several)) == [("root", "/a", None), ("root", "/b", None)]
     assert [tuple(r) for r in G.model_violations(phases([("/a/b", 0.0, 1.0)]), df.limit(0)).collect()].count(("root", None, None)) == 1
     assert G.model_violations(phases(rows[:4]).filter("end >= start"), df.limit(0)).collect() == []
+
+
+def test_impact_by_blocks_makes_no_pairs_of_nodes(spark):
+    # Three blocks of 40 workers that wait for one another: 3,200 pairs of nodes, two edges between blocks.
+    from .work import most_rows
+
+    nodes = [("g", f"w{b}.{i}", float(1 + (i * 7 + b) % 9), "xy"[i % 2], f"b{b}") for b in range(3) for i in range(40)]
+    df = spark.createDataFrame(nodes, "group string, node string, duration double, type string, block string")
+    edges = spark.createDataFrame([("g", "b0", "b1"), ("g", "b1", "b2")], "group string, after string, node string")
+    block = {n[1]: n[4] for n in nodes}
+    pairs = spark.createDataFrame([("g", a, b) for a in block for b in block if int(block[a][1]) + 1 == int(block[b][1])], "group string, after string, node string")
+    out = []
+    assert most_rows(spark, lambda: out.extend(map(tuple, G.imbalance_impact(df, edges, "block", "block").collect()))) < 400
+    plain = sorted((*r[:3], *[round(v, 9) for v in r[3:]]) for r in out)
+    assert len(plain) == 2 and plain == sorted((*r[:3], *[round(v, 9) for v in r[3:]]) for r in map(tuple, G.imbalance_impact(df, pairs, "block").collect()))
+
+
+@pytest.mark.parametrize("most", [-1, 50, 10_000])
+def test_longest_paths_however_groups_are_solved(spark, monkeypatch, most):
+    monkeypatch.setattr(G, "LARGE", most)
+    nodes, edges = graph(6)
+    nodes, edges = [*nodes, ("c", "n0", 2.0)], [*edges, ("a", "unknown", "n3")]
+    got = {(r["group"], r["node"]): r["finish"] for r in G.longest_paths(*frames(spark, nodes, edges)).collect()}
+    assert got == plain_finish(nodes, edges[:-1])
+    with pytest.raises(ValueError):
+        G.longest_paths(*frames(spark, [(g, n, 0.0) for g, n, _ in nodes], [("a", "n0", "n1"), ("a", "n1", "n0")]))
